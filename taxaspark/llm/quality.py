@@ -99,7 +99,10 @@ def clean_documents(docs: DataFrame, **rules) -> DataFrame:
     n_chars, if there is one, made to fit."""
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    kept = quality(marked, **rules).filter("kept").withColumnRenamed("doc_id", "_row")
+    # a condition that isn't deterministic is not pushed below the expressions it is made of,
+    # where each of them would be written out again at every use
+    judged = quality(marked, **rules).withColumn("kept", F.col("kept") & (F.rand(0) >= 0))
+    kept = judged.filter("kept").withColumnRenamed("doc_id", "_row")
     own["text"] = F.col("cleaned")
     if "n_chars" in own:
         own["n_chars"] = F.length("cleaned").cast("long")
