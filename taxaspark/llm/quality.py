@@ -5,6 +5,8 @@ Spark expressions only.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +93,10 @@ def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_pe
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     loss = F.when(F.col("word_chars") > 0, F.col("lost") / F.col("word_chars")).otherwise(0.0)
     df = df.withColumn("base_failed", base).withColumn("loss", loss)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("loss") <= max_loss)).drop("lost")
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("loss") <= max_loss)).drop("lost")
+    # conditions are not pushed below an observation; pushed further, one on ``kept`` would write out
+    # the expressions it is made of at every use, inside loops over words
+    return df.observe(f"quality-{uuid.uuid4().hex}", F.count("*").alias("documents"), F.count_if("kept").alias("kept"))
 
 
 def clean_documents(docs: DataFrame, **rules) -> DataFrame:
@@ -99,10 +104,7 @@ def clean_documents(docs: DataFrame, **rules) -> DataFrame:
     n_chars, if there is one, made to fit."""
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    # a condition that isn't deterministic is not pushed below the expressions it is made of,
-    # where each of them would be written out again at every use
-    judged = quality(marked, **rules).withColumn("kept", F.col("kept") & (F.rand(0) >= 0))
-    kept = judged.filter("kept").withColumnRenamed("doc_id", "_row")
+    kept = quality(marked, **rules).filter("kept").withColumnRenamed("doc_id", "_row")
     own["text"] = F.col("cleaned")
     if "n_chars" in own:
         own["n_chars"] = F.length("cleaned").cast("long")

@@ -87,3 +87,43 @@ def contamination(docs, items, size=10):
                     found |= windows[x]
         out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out
+
+
+def chat(rows):
+    """rows: (conv_id, turn, role, text). To (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256)."""
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn, role or "", text or ""))
+    out = []
+    for conv, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss)))
+    return out
+
+
+def substring(rows, min_words=5):
+    """rows: (doc_id, text). To {doc_id: [(start, end)]}."""
+    seen, out = set(), {}
+    for doc, text in sorted((i, t or "") for i, t in rows):
+        at, gone = 0, []
+        for line in text.split("\n"):
+            unit = re.sub(r"\s+", " ", line).strip().lower()
+            if len(unit.split(" ")) >= min_words and unit:
+                if unit in seen:
+                    gone.append((at, at + len(line)))
+                seen.add(unit)
+            at += len(line) + 1
+        out[doc] = gone
+    return out
+
+
+def shared_lines(rows, min_words=3):
+    """rows: (doc_id, text), distinct ids. To {doc_id: lines that an earlier document holds}."""
+    first, out = {}, {}
+    for doc, text in sorted((i, t or "") for i, t in rows):
+        lines = [x.strip(" ") for x in text.split("\n")]
+        out[doc] = {k for k, x in enumerate(lines) if len(x.split()) >= min_words and first.get(x, doc) != doc}
+        for x in lines:
+            first.setdefault(x, doc)
+    return out
