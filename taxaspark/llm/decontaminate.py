@@ -10,6 +10,8 @@ around it equals the window; terms in another order or with gaps give a proximit
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +68,12 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
 
     def look_up(block: DataFrame) -> DataFrame:
         spread = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), tokens(F.col("text")).alias("tokens"))
-        posting = spread.select("doc_id", "text_key", "tokens", F.posexplode("tokens").alias("pos", "term")).join(F.broadcast(block), "term")
+        posting = spread.select("doc_id", "text_key", "tokens", F.posexplode("tokens").alias("pos", "term")).join(F.broadcast(block.select("term")), "term")
         first = F.greatest(F.col("pos") - side, F.lit(0))
-        posting = posting.select("doc_id", "text_key", "term", "pos", "entries", (F.col("pos") - first).alias("before"),
-                                 F.slice("tokens", first + 1, F.col("pos") - first + side + 1).alias("around"))
+        posting = posting.select("doc_id", "text_key", "term", "pos", (F.col("pos") - first).alias("before"), F.slice("tokens", first + 1, F.col("pos") - first + side + 1).alias("around"))
+        # nothing is pushed below an observation: what leaves the loop over a text's words is a
+        # posting with its surroundings, never a copy of the whole text
+        posting = posting.observe(f"postings-{uuid.uuid4().hex}", F.count("*").alias("postings")).join(F.broadcast(block), "term")
         begins = lambda e: F.col("before") - e["back"]
         exact = lambda e: (begins(e) >= 0) & (F.slice("around", F.greatest(begins(e), F.lit(0)) + 1, F.size(e["words"])) == e["words"])
         found = F.transform(F.filter("entries", exact), lambda e: F.struct(e["item_id"].alias("item_id"), (F.col("pos") - e["back"]).alias("start"), F.size(e["words"]).alias("n")))
