@@ -39,6 +39,9 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self._encode([MARK])[0].tolist()
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[n for word, n in words.items() if word.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -50,21 +53,54 @@ class _Encoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def learn(self, chunks: list[bytes]) -> None:
-        alone = [c for c in chunks if MARK in c]
-        chunks = [c for c in chunks if MARK not in c]
-        blocks = [chunks[k : k + 1000] for k in range(0, len(chunks), 1000)]
-        coded, sizes = [], []
-        for ids in self._encode([(b" " + MARK + b" ").join([*block, b""]) for block in blocks]):
-            ends = np.flatnonzero(ids == self.mark)
-            sizes.append(np.diff(ends, prepend=-1) - 1)
-            coded.append(ids[ids != self.mark])
-        for ids in self._encode(alone):
-            coded.append(ids)
-            sizes.append(np.array([len(ids)]))
-        if sizes:
-            self.number.update(zip([*chunks, *alone], range(len(self.number), len(self.number) + len(chunks) + len(alone)), strict=True))
-            self.ids = np.concatenate([self.ids, *coded])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        """A chunk's case is lost anyway and a full stop or comma after a letter is a token of its
+        own, so a chunk that differs only by these is put together from its plain form."""
+        plain, made = set(), []
+        for c in chunks:
+            low = c if b"<" in c else c.lower()
+            tail = low[-1] in b".," and len(low) > 1 and 97 <= low[-2] <= 122
+            base = low[:-1] if tail else low
+            if base != c:
+                made.append((c, base, low[-1:] if tail else b""))
+            if base not in self.number:
+                plain.add(base)
+        self._learn_plain(list(plain | {t for t in (b".", b",") if t not in self.number}))
+        number = self.number
+        number.update((c, number[base]) for c, base, tail in made if not tail)
+        made = [x for x in made if x[2]]
+        if made:
+            n = np.fromiter((number[x[1]] for x in made), np.int64, len(made))
+            tails = np.fromiter((self.ids[self.start[number[x[2]]]] for x in made), np.uint32, len(made))
+            start, size = self.start[n], self.start[n + 1] - self.start[n]
+            ends = np.cumsum(size + 1)
+            ids = self.ids[np.minimum(np.repeat(start - ends + size + 1, size + 1) + np.arange(ends[-1]), len(self.ids) - 1)]
+            ids[ends - 1] = tails
+            self._add([x[0] for x in made], ids, size + 1)
+
+    def _add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.start) - 1
+        self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def _learn_plain(self, chunks: list[bytes]) -> None:
+        """Chunks of letters are one word each, whose last token is marked as a word's end; others
+        are parted by a mark."""
+        letters, others, alone = [], [], []
+        for c in chunks:
+            (letters if c.decode().isalpha() else alone if MARK in c else others).append(c)
+        for some, sep in ((letters, b" "), (others, b" " + MARK + b" ")):
+            for k in range(0, len(some), 50_000):
+                part = some[k : k + 50_000]
+                coded = self._encode([sep.join([*part[j : j + 1000], b""]) for j in range(0, len(part), 1000)])
+                ids = np.concatenate(coded)
+                ends = np.flatnonzero(self.ends_word[ids] if some is letters else ids == self.mark)
+                sizes = np.diff(ends, prepend=-1)
+                if some is others:
+                    ids, sizes = ids[ids != self.mark], sizes - 1
+                self._add(part, ids, sizes)
+        for c, ids in zip(alone, self._encode(alone), strict=True):
+            self._add([c], ids, np.array([len(ids)]))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.number) > KEPT_CHUNKS:
