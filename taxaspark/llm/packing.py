@@ -9,6 +9,7 @@ planned slot of that rank.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -88,20 +89,27 @@ class _Encoder:
         are parted by a mark."""
         letters, others, alone = [], [], []
         for c in chunks:
-            (letters if c.decode().isalpha() else alone if MARK in c else others).append(c)
-        for some, sep in ((letters, b" "), (others, b" " + MARK + b" ")):
-            for k in range(0, len(some), 50_000):
-                part = some[k : k + 50_000]
-                coded = self._encode([sep.join([*part[j : j + 1000], b""]) for j in range(0, len(part), 1000)])
-                ids = np.concatenate(coded)
-                ends = np.flatnonzero(self.ends_word[ids] if some is letters else ids == self.mark)
-                sizes = np.diff(ends, prepend=-1)
-                if some is others:
-                    ids, sizes = ids[ids != self.mark], sizes - 1
+            plain = c.isalpha() or unicodedata.normalize("NFC", c.decode()).lower().isalpha()
+            (letters if plain else alone if MARK in c else others).append(c)
+        for k in range(0, len(letters), 50_000):
+            part = letters[k : k + 50_000]
+            ids = self._joined(part, b" ")
+            sizes = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+            if len(sizes) == len(part):
                 self._add(part, ids, sizes)
+            else:  # a letter to one that isn't to the other
+                others += part
+        for k in range(0, len(others), 50_000):
+            part = others[k : k + 50_000]
+            ids = self._joined(part, b" " + MARK + b" ")
+            sizes = np.diff(np.flatnonzero(ids == self.mark), prepend=-1) - 1
+            self._add(part, ids[ids != self.mark], sizes)
         for c, ids in zip(alone, self._encode(alone), strict=True):
             self._add([c], ids, np.array([len(ids)]))
 
+    def _joined(self, chunks: list[bytes], sep: bytes) -> np.ndarray:
+        return np.concatenate(self._encode([sep.join([*chunks[k : k + 1000], b""]) for k in range(0, len(chunks), 1000)]))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.number) > KEPT_CHUNKS:
             self.clear()
