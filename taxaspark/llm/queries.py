@@ -89,4 +89,43 @@ QUERIES = {
         op6_quality_rules, op7_site_tree, op8_best_fit_packing, op9_simhash_near_dedup, op10_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = f"list_filter(string_split_regex(translate(coalesce(text, ''), {_UPPER}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_FULL = "regexp_matches(x, '[^\\x20\\x09-\\x0D]')"
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+_SYMBOLS = f"(length({{0}}) - length(regexp_replace({{0}}, {_quoted(quality.SYMBOLS)}, '', 'g')))"
+_PASSES = f"""((regexp_matches(x, {_quoted(quality.TERMINAL)}) OR regexp_matches(x, {_quoted(quality.SENTENCE)})) AND {_SYMBOLS.format("x")} <= length(x) * 0.08
+   AND length(x) - length(replace(x, '!!', '')) <= greatest(4, length(x) * 0.08) AND NOT regexp_matches(x, {_quoted(quality.BOILERPLATE)}) AND NOT regexp_matches(lower(x), {_quoted(quality.NAVIGATION)}))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": """WITH l AS (SELECT doc_id, pos, x, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(x) - 1 AS a, pos = max(pos) OVER (PARTITION BY doc_id) AS last
+   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
+  u AS (SELECT *, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS k FROM l),
+  f AS (SELECT *, len(string_split(k, ' ')) >= 5 AND k <> '' AND row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1 AS gone, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id, pos) AS first FROM u)
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(x)) FILTER (gone), 0)::BIGINT AS removed_chars,
+   coalesce(string_agg(a::BIGINT || ':' || (a + length(x))::BIGINT, ',' ORDER BY pos) FILTER (gone), '') AS spans,
+   coalesce(list_aggregate(list_sort(list(DISTINCT first) FILTER (gone)), 'string_agg', ','), '') AS first_docs,
+   sha256(coalesce(string_agg(x || CASE WHEN last THEN '' ELSE chr(10) END, '' ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256 FROM f GROUP BY doc_id""",
+    "op4_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{SPELLED}' UNION ALL SELECT -7, 1, 'assistant', '{SPELLED}'),
+  n AS (SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS joined, lead(role) OVER w IS NOT DISTINCT FROM role AS more FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+   sum(length({_ESC.format("text")}) + CASE WHEN joined THEN 6 ELSE 7 + length({_ESC.format("role")}) END + CASE WHEN more THEN 0 ELSE 8 END)::BIGINT AS formatted_chars FROM n GROUP BY conv_id""",
+    "op6_quality_rules": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d))),
+  r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE n > 1) GROUP BY 1),
+  e AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_SYMBOLS.format("text")} AS n_symbols, list_filter(lines, lambda x: {_FULL}) AS full_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+  v AS (SELECT *, list_filter(full_lines, lambda x: NOT {_PASSES}) AS failed FROM e),
+  s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN length(regexp_replace(array_to_string(list_filter(failed, lambda x: NOT regexp_matches(x, {_quoted(quality.BOILERPLATE)})), ''), '[\\x20\\x09-\\x0D]+', '', 'g')) / word_chars ELSE 0.0 END AS loss FROM v)
+  SELECT doc_id, n_words, word_chars, n_symbols, len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND loss <= 0.6 AS kept, len(failed) AS n_lines_removed, round(loss, 6) AS loss FROM s""",
+    "op10_decontamination": f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+  i AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+  x AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i))),
+  h AS (SELECT doc_id, item_id, s, n FROM x JOIN i USING (n, k)),
+  p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS q FROM h) GROUP BY 1),
+  t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+  FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
