@@ -66,14 +66,16 @@ class LabelModel:
         for k in range(rounds):
             totals = np.array([(1 - q).sum(), q.sum()])
             self.rates = (np.stack([(1 - q) @ votes, q @ votes]) + [[0.05], [0.05]]) / (totals[:, None] + 0.5)
-            if k == 2:
+            if k == 0:  # classes as the labels have them
                 self.share = self._shares(votes, q)
             q = self.posterior(votes, gold, gold_accuracy)
         return self
 
     def _shares(self, votes: np.ndarray, q: np.ndarray, least: float = 0.3) -> np.ndarray:
         """1 / size of a voter's clique: itself and those it correlates with given the class."""
-        left = votes - np.outer(q, self.rates[1]) - np.outer(1 - q, self.rates[0])
+        toxic = (q > 0.5).astype(float)
+        means = [(c @ votes) / max(1.0, c.sum()) for c in (1 - toxic, toxic)]
+        left = votes - np.outer(toxic, means[1]) - np.outer(1 - toxic, means[0])
         deviation = np.sqrt((left**2).mean(axis=0)) + 1e-9
         correlation = (left.T @ left) / len(votes) / np.outer(deviation, deviation)
         return 1 / np.maximum(1, (np.abs(correlation) > least).sum(axis=1))
