@@ -140,7 +140,7 @@ def code_label(c: Column, labels: dict[str, str], default: str = "Unknown") -> C
 
 def family_list(c: Column) -> Column:
     """Comma-parted names, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sentence_case(c: Column) -> Column:

@@ -161,7 +161,7 @@ def embed_column(df: DataFrame, column: str, encoder: Callable[[], Callable[[lis
             for k in range(0, len(pdf), batch):
                 part = pdf.iloc[k : k + batch]
                 made = [(i, v) for i, v in zip(part[key], encode(part[column].tolist()), strict=True) if v is not None]
-                if any(len(v) != dim for _, v in made):
+                if not made or any(len(v) != dim for _, v in made):
                     continue
                 unit = [(np.asarray(v, float) / (np.linalg.norm(v) or 1)).astype(np.float32).tolist() for _, v in made]
                 yield pd.DataFrame({key: [i for i, _ in made], "embedding": unit})
