@@ -16,9 +16,9 @@ RANK_FIELDS = ("family", "class", "order", "phylum", "kingdom")
 #: Half a box's height in metres, and metres in a degree of latitude.
 BOX_METRES, DEGREE_METRES = 50_000, 111_100
 #: Labels of trait and conservation codes.
-VOLTINISM = {"u": "Univoltine", "b": "Bivoltine", "m": "Multivoltine", "na": "Not available"}
-DIAPAUSE = {"l": "Larva", "p": "Pupa", "pl": "Pupa/Larva", "a": "Adult", "na": "Not available"}
-OVIPOSITION = {"s": "Single", "g": "Group", "sc": "Small cluster", "na": "Not available"}
+VOLTINISM = {"u": "Univoltine", "b": "Bivoltine", "m": "Multivoltine", "na": "Unknown"}
+DIAPAUSE = {"l": "Larva", "p": "Pupa", "pl": "Pupa or Larva", "a": "Adult", "na": "No diapause or data unavailable"}
+OVIPOSITION = {"s": "Solitary", "g": "Gregarious", "sc": "Scattered", "na": "Unknown"}
 RED_LIST = {
     "NE": "Not Evaluated", "DD": "Data Deficient", "LC": "Least Concern", "NT": "Near Threatened", "VU": "Vulnerable",
     "EN": "Endangered", "CR": "Critically Endangered", "EW": "Extinct in the Wild", "EX": "Extinct",
@@ -131,7 +131,9 @@ def all_absent(months: Column) -> Column:
     return F.forall(F.map_values(months), lambda x: ~x)
 
 
-def code_label(c: Column, labels: dict[str, str], default: str = "Unknown") -> Column:
+def code_label(c: Column, labels: dict[str, str], default: str | None = None) -> Column:
+    """A code's label; for others the default, else the label of "na", else "Unknown"."""
+    default = default or labels.get("na", "Unknown")
     pairs = [F.lit(x) for kv in labels.items() for x in kv]
     upper = next(iter(labels)).isupper()
     key = F.upper(F.trim(c)) if upper else F.lower(F.trim(c))

@@ -10,6 +10,8 @@ from taxaspark.functions import exprs, keys
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 RANKS = ("kingdom", "phylum", "class", "order", "family", "genus", "species")
 TAXON_TEXT = (*RANKS, "authorship", "vernacularName")
+#: Fixed value: what a profile text ends with.
+CLOSING = "Please provide a brief overview of the species based on the above information."
 AFFINITIES = ("CanopyAffinity", "EdgeAffinity", "MoistureAffinity", "DisturbanceAffinity")
 
 
@@ -93,6 +95,7 @@ def profile_text(taxonomy: list[str], traits: list[str]) -> Column:
     """Bullet lines of the fields that aren't null or empty, under two headings, and a closing line."""
 
     def lines(columns: list[str]) -> list[Column]:
-        return [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"- {c}: "), F.col(c).cast("string"))) for c in columns]
+        return [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"- {c.capitalize()}: "), F.col(c).cast("string"))) for c in columns]
 
-    return F.concat_ws("\n", F.lit("Taxonomy Information"), *lines(taxonomy), F.lit("Traits Information"), *lines(traits), F.lit("Please summarise this species for a general reader."))
+    parts = [F.concat_ws("\n", F.lit("Taxonomy Information:"), *lines(taxonomy)), F.concat_ws("\n", F.lit("Traits Information:"), *lines(traits)), F.lit(CLOSING)]
+    return F.array_join(F.array(*parts), "\n\n")

@@ -112,7 +112,7 @@ def test_classify_and_profile(spark):
     traits = spark.createDataFrame([("danaus plexippus", "High")], "species string, CanopyAffinity string")
     profile = taxonomy.species_profile(tax, traits, name="Danaus_plexippus")
     text = profile.select(taxonomy.profile_text(["family"], ["CanopyAffinity"]).alias("t")).first()["t"]
-    assert "- family: F" in text and "- CanopyAffinity: High" in text
+    assert "- Family: F" in text and "- Canopyaffinity: High" in text
 
 
 @pytest.fixture(scope="module")
