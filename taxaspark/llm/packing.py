@@ -25,8 +25,9 @@ from taxaspark.llm.common import cut
 
 #: Buckets that share the ranking of one length.
 BUCKETS = 1024
-#: Chunks whose ids a worker keeps; beyond, it starts anew.
-KEPT_CHUNKS = 1_000_000
+#: Chunks whose ids a worker keeps; beyond, those that came once go, and the rarer half of the rest
+#: if these are too many still. Only speed depends on it.
+KEPT_CHUNKS = 400_000
 #: Parts chunks that are encoded together; chunks that hold it are encoded alone.
 MARK = b"\x01"
 
@@ -49,6 +50,18 @@ class _Encoder:
         self.number: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks that came again."""
+        seen = self.seen
+        kept = seen > max(1, np.partition(seen, -KEPT_CHUNKS // 2)[-KEPT_CHUNKS // 2] if len(seen) > KEPT_CHUNKS // 2 else 1)
+        place = np.cumsum(kept) - 1
+        self.number = {c: int(place[n]) for c, n in self.number.items() if kept[n]}
+        size = np.diff(self.start)
+        self.ids = self.ids[np.repeat(kept, size)]
+        self.start = np.concatenate([[0], np.cumsum(size[kept])])
+        self.seen = seen[kept] // 2
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -83,6 +96,7 @@ class _Encoder:
         self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.ids = np.concatenate([self.ids, ids])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(chunks), np.int64)])
 
     def _learn_plain(self, chunks: list[bytes]) -> None:
         """Chunks of letters are one word each, whose last token is marked as a word's end; others
@@ -112,7 +126,7 @@ class _Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.number) > KEPT_CHUNKS:
-            self.clear()
+            self._forget()
         split = [t.split() for t in texts]
         flat = [c for chunks in split for c in chunks]
         numbers = list(map(self.number.get, flat))
@@ -120,6 +134,7 @@ class _Encoder:
             self.learn(list({c for c, n in zip(flat, numbers, strict=True) if n is None}))
             numbers = [self.number[c] if n is None else n for c, n in zip(flat, numbers, strict=True)]
         n = np.array(numbers, np.int64)
+        self.seen += np.bincount(n, minlength=len(self.seen))
         start, size = self.start[n], self.start[n + 1] - self.start[n]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]

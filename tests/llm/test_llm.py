@@ -248,13 +248,15 @@ def test_plan_is_best_fit_decreasing(seed):
     assert sum(map(len, taken.values())) == len(lengths) and len(taken) <= max(bins, 0)
 
 
-def test_encoder_equals_the_tokenizer():
+@pytest.mark.parametrize("kept", [400_000, 6])
+def test_encoder_equals_the_tokenizer(kept, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "KEPT_CHUNKS", kept)
     path = queries.tokenizer_path()
     t, own = Tokenizer.from_file(path), packing._Encoder(path)
     texts = ["", " ", "\x01", "a\x01b \x01\x01 x", "Thor, THOR. thor a., 12,5 don't DON'T", "<|endoftext|>a <|ENDOFTEXT|> b<|startoftext|>", "İ İ, ǅ ﬁ שּׁ é́ ÅÅ. ÇA ΑΣ ΣΑΣ  x　y ́z", "日本語 текст 🙂 x🙂"]
-    for _ in range(2):
+    for _ in range(4):
         assert [x.tolist() for x in own.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
