@@ -9,6 +9,7 @@ planned slot of that rank.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from taxaspark.llm.common import cut
 
 #: Buckets that share the ranking of one length.
 BUCKETS = 1024
+#: Bytes of text that are encoded together, or one longer text.
+BYTES = 4 << 20
 #: Chunks whose ids a worker keeps; beyond, those that came once go, and the rarer half of the rest
 #: if these are too many still. Only speed depends on it.
 KEPT_CHUNKS = 400_000
@@ -51,11 +55,13 @@ class _Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
         self.seen = np.zeros(0, np.int64)
+        self._add([b""], np.zeros(0, np.uint32), np.zeros(1, np.int64))  # before white space that begins a text
 
     def _forget(self) -> None:
         """Keep the chunks that came again."""
         seen = self.seen
         kept = seen > max(1, np.partition(seen, -KEPT_CHUNKS // 2)[-KEPT_CHUNKS // 2] if len(seen) > KEPT_CHUNKS // 2 else 1)
+        kept[self.number[b""]] = True
         place = np.cumsum(kept) - 1
         self.number = {c: int(place[n]) for c, n in self.number.items() if kept[n]}
         size = np.diff(self.start)
@@ -124,22 +130,27 @@ class _Encoder:
     def _joined(self, chunks: list[bytes], sep: bytes) -> np.ndarray:
         return np.concatenate(self._encode([sep.join([*chunks[k : k + 1000], b""]) for k in range(0, len(chunks), 1000)]))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts``, one text after the other, and where each text's ids begin and end.
+
+        Arrow splits and numbers the chunks of a batch, so only different ones are looked up.
+        """
         if len(self.number) > KEPT_CHUNKS:
             self._forget()
-        split = [t.split() for t in texts]
-        flat = [c for chunks in split for c in chunks]
-        numbers = list(map(self.number.get, flat))
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts)))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.binary()).to_pylist()
+        numbers = list(map(self.number.get, chunks))
         if None in numbers:
-            self.learn(list({c for c, n in zip(flat, numbers, strict=True) if n is None}))
-            numbers = [self.number[c] if n is None else n for c, n in zip(flat, numbers, strict=True)]
+            self.learn([c for c, n in zip(chunks, numbers, strict=True) if n is None])
+            numbers = [self.number[c] if n is None else n for c, n in zip(chunks, numbers, strict=True)]
         n = np.array(numbers, np.int64)
-        self.seen += np.bincount(n, minlength=len(self.seen))
-        start, size = self.start[n], self.start[n + 1] - self.start[n]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum([len(chunks) for chunks in split])
-        return np.split(ids, np.concatenate([[0], ends])[last[:-1]]) if len(texts) else []
+        times = np.bincount(coded.indices.to_numpy(), minlength=len(n))
+        self.seen += np.bincount(n, times, len(self.seen)).astype(np.int64)
+        known = pa.LargeListArray.from_arrays(self.start, self.ids)
+        taken = known.take(pa.array(n).take(coded.indices))
+        offsets = split.offsets.to_numpy()
+        return taken.values.to_numpy(), taken.offsets.to_numpy()[offsets - offsets[0]]
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -148,29 +159,41 @@ _ENCODERS: dict[str, _Encoder] = {}
 def _encoder(path: str) -> _Encoder:
     """One for each worker process and file."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each hold memory
         _ENCODERS[path] = _Encoder(path)
     return _ENCODERS[path]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``BYTES`` of text, its second column."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k = 0
+    while k < len(ends):
+        limit = BYTES + (ends[k - 1] if k else 0)
+        end = max(k + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(k, end - k)
+        k = end
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of ``docs(doc_id, text)``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                ids = batch.column(0).to_pylist()
-                texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for batch in _parts(whole):
+                docs = batch.column(0).to_pylist()
+                ids, at = encoder.encode(batch.column(1).fill_null(""))
                 rows = []
-                for doc, coded in zip(ids, encoder.encode([t or b"" for t in texts]), strict=True):
-                    coded = np.append(coded, np.uint32(end_id)).astype("<u4")
-                    for n, at in enumerate(range(0, len(coded), length)):
-                        part = coded[at : at + length]
-                        rows.append((doc, n, at, len(part), zlib.crc32(part.tobytes())))
+                for doc, first, end in zip(docs, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    coded = np.append(ids[first:end], np.uint32(end_id)).astype("<u4")
+                    for n, start in enumerate(range(0, len(coded), length)):
+                        part = coded[start : start + length]
+                        rows.append((doc, n, start, len(part), zlib.crc32(part.tobytes())))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # an idle worker keeps only the encoder
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

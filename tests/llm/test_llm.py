@@ -10,6 +10,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,9 +256,18 @@ def test_encoder_equals_the_tokenizer(kept, monkeypatch):
     monkeypatch.setattr(packing, "KEPT_CHUNKS", kept)
     path = queries.tokenizer_path()
     t, own = Tokenizer.from_file(path), packing._Encoder(path)
-    texts = ["", " ", "\x01", "a\x01b \x01\x01 x", "Thor, THOR. thor a., 12,5 don't DON'T", "<|endoftext|>a <|ENDOFTEXT|> b<|startoftext|>", "İ İ, ǅ ﬁ שּׁ é́ ÅÅ. ÇA ΑΣ ΣΑΣ  x　y ́z", "日本語 текст 🙂 x🙂"]
+    texts = ["", " ", "\x01", "a\x01b \x01\x01 x", "Thor, THOR. thor a., 12,5 don't DON'T", "<|endoftext|>a <|ENDOFTEXT|> b<|startoftext|>", "İ İ, ǅ ﬁ שּׁ é́ ÅÅ. ÇA ΑΣ ΣΑΣ  x　y ́z", "日本語 текст 🙂 x🙂", "\n\t a\x0b\x0cb\x1cc\x85d  "]
     for _ in range(4):
-        assert [x.tolist() for x in own.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        ids, at = own.encode(pa.array(["cut off", *texts]).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0], [3, 0, None, 9, 4, 1, 5, 20], [20, 20]])
+def test_parts(sizes, monkeypatch):
+    monkeypatch.setattr(packing, "BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array([n if n is None else "x" * n for n in sizes], pa.string())], ["doc_id", "text"])
+    parts = [p.column(0).to_pylist() for p in packing._parts(batch)]
+    assert sum(parts, []) == list(range(len(sizes))) and all(len(p) == 1 or sum(sizes[k] or 0 for k in p) <= 10 for p in parts)
 
 
 def test_pack(awkward, empty):
