@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from taxaspark.llm.common import cut
 from taxaspark.llm.components import connected_components
+from taxaspark.llm.shingles import near_copies
 
 #: Bits of a position number that count rows within a partition.
 ROW_BITS = 33
@@ -180,12 +181,13 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2, shingle: int = 3, se
     return marked.join(classes, "fp", "left").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_first_of_group(docs: DataFrame, max_distance: int = 2) -> DataFrame:
+def keep_first_of_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` whose doc_id is its component's smallest; of rows that repeat one, one stays.
 
-    Rows with a null doc_id stay, as they can't be told apart.
+    Components are those of :func:`shingles.near_copies`: a fingerprint's distance says too little
+    about a similarity of 0.8. Rows with a null doc_id stay, as they can't be told apart.
     """
-    found = near_duplicates(docs, max_distance)
+    found = near_copies(docs, shingle, percent)
     lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

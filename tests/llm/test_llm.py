@@ -112,6 +112,26 @@ def test_gray_index_finds_every_link(spark, seed, monkeypatch):
     assert got == want
 
 
+def test_near_copies_of_five_words(spark):
+    r = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(r.choice([3, 30, 120, 400]))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 40))):
+                copy[r.randrange(len(copy))] = "edited" + str(r.randint(0, 9))
+            texts.append(" ".join(copy))
+    texts = [f"{t} {PASSAGE}" if k % 3 else t for k, t in enumerate(texts)] + ["", None]
+    r.shuffle(texts)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for k, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(brute.components(links, sets).values())
+    assert {r["doc_id"] for r in simhash.keep_first_of_group(df).collect()} == want
+    assert want < {x[2] for x in brute.simhash(enumerate(texts))}  # the query's limits keep more
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(7, 7), (500, 501), (501, 500)], "u long, v long")
     out = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
