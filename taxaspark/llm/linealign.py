@@ -3,17 +3,19 @@
 Documents that share a line are found through the line's digest: each later holder is paired with
 the line's first holder, so a line held by n documents gives n - 1 pairs and none is left out,
 however frequent it is. The line digests of each pair are aligned with patience diff (lines unique
-in both, in longest increasing order, then what lies between them), and the aligned common blocks
-are deleted from the later document. As a line's first holder never loses it, one copy of every
+in both, in longest increasing order, then what lies between them; a longest common subsequence
+where there are none), and the aligned common blocks are deleted from the later document, together
+with the other places of their lines in it. As a line's first holder never loses it, one copy of every
 line stays.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,57 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+#: Bits of the table that :func:`common` keeps at once; beyond, it halves the second sequence first.
+TABLE_BITS = 1 << 28
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each of ``b``: a bit per place in ``a``, unset where the common subsequence grows."""
+    place: dict[int, int] = {}
+    for k, x in enumerate(a):
+        place[x] = place.get(x, 0) | 1 << k
+    full = row = (1 << len(a)) - 1
+    for x in b:
+        u = row & place.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``b`` and each beginning of ``a``."""
+    *_, row = (1 << len(a)) - 1, *deque(_rows(a, b), 1)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions (i, j) of a longest common subsequence."""
+    both = set(a) & set(b)
+    at_a, at_b = ([k for k, x in enumerate(s) if x in both] for s in (a, b))
+    a, b = [a[k] for k in at_a], [b[k] for k in at_b]
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, m, j, n = todo.pop()
+        if i == m or j == n:
+            continue
+        if n - j > 1 and (m - i) * (n - j) > TABLE_BITS:
+            h = (j + n) // 2
+            at = i + int(np.argmax(_lengths(a[i:m], b[j:h]) + _lengths(a[i:m][::-1], b[h:n][::-1])[::-1]))
+            todo += [(i, at, j, h), (at, m, h, n)]
+            continue
+        rows, x, y = list(_rows(a[i:m], b[j:n])), m - i, n - j
+        while x and y:
+            if rows[y - 1] >> (x - 1) & 1:
+                x -= 1
+            else:
+                y -= 1
+                if not y or rows[y - 1] >> (x - 1) & 1:
+                    x -= 1
+                    found.append((at_a[i + x], at_b[j + y]))
+    return sorted(found)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched positions (i, j) of two sequences, increasing in both."""
     found: list[tuple[int, int]] = []
@@ -69,6 +122,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         place = {x: k for k, x in enumerate(b[j:n], j) if once_b[x] == 1}
         anchors = _increasing([(k, place[x]) for k, x in enumerate(a[i:m], i) if once_a[x] == 1 and x in place])
         if not anchors:
+            found += [(i + x, j + y) for x, y in common(a[i:m], b[j:n])]
             continue
         found += anchors
         for (p, q), (r, s) in zip([(i - 1, j - 1), *anchors], [*anchors, (m, n)], strict=True):
@@ -77,7 +131,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def aligned_lines(a: list[int], b: list[int]) -> list[int]:
-    """Lines of ``b`` in aligned blocks that hold a line of enough words."""
+    """Lines of ``b`` in aligned blocks that hold a line of enough words, and where else such lines stand in ``b``."""
     out: list[int] = []
     block: list[tuple[int, int]] = []
     for i, j in [*patience(a, b), (-9, -9)]:
@@ -86,7 +140,8 @@ def aligned_lines(a: list[int], b: list[int]) -> list[int]:
                 out += [y for _, y in block]
             block = []
         block.append((i, j))
-    return out
+    again = {b[y] for y in out if b[y] & 1}
+    return sorted({*out, *(y for y, x in enumerate(b) if x in again)})
 
 
 def overlapping_pairs(lines: DataFrame) -> DataFrame:

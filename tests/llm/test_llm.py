@@ -196,6 +196,29 @@ def test_patience(seed):
         assert linealign.patience(a, a) == [(k, k) for k in range(len(a))]
 
 
+@pytest.mark.parametrize("bits", [1 << 28, 40])
+def test_longest_common_subsequence(bits, monkeypatch):
+    monkeypatch.setattr(linealign, "TABLE_BITS", bits)
+    r = random.Random(bits)
+    for _ in range(200):
+        a, b = ([r.randint(0, 6) for _ in range(r.randint(0, 40))] for _ in range(2))
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+        found = linealign.common(a, b)
+        assert len(found) == longest[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+
+
+def test_lines_that_repeat_are_aligned():
+    p, q, r, s, t = 2, 4, 6, 8, 10  # short lines; odd ones are long
+    assert linealign.aligned_lines([p, 1, q], [r, 1, s, 1, t]) == [1, 3]
+    assert linealign.aligned_lines([p, 1, q, 1, s], [r, 1, t]) == [1]
+    assert linealign.aligned_lines([p, 1, 3, q, 1, 3], [r, 1, 3, t, 1, 3, 8, 1, 3, 10]) == [1, 2, 4, 5, 7, 8]
+    assert linealign.aligned_lines([p, 1, q], [r, 3, s]) == []
+
+
 def brute_alignment(rows, min_words=3):
     """Lines that later documents lose, by aligning every one with each line's first holder."""
     lines = {i: [x.strip(" ") for x in (t or "").split("\n")] for i, t in rows}
