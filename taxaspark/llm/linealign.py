@@ -5,8 +5,9 @@ the line's first holder, so a line held by n documents gives n - 1 pairs and non
 however frequent it is. The line digests of each pair are aligned with patience diff (lines unique
 in both, in longest increasing order, then what lies between them; a longest common subsequence
 where there are none), and the aligned common blocks are deleted from the later document, together
-with the other places of their lines in it. As a line's first holder never loses it, one copy of every
-line stays.
+with the other places of their lines in it. Then every document that still has a line is paired with the
+one before it that has it too, but for the line's first holder, and what is left of the two is
+aligned, until no pair aligns. As a line's first holder never loses it, one copy of every line stays.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.llm.common import cut, text_key
@@ -144,33 +145,57 @@ def aligned_lines(a: list[int], b: list[int]) -> list[int]:
     return sorted({*out, *(y for y, x in enumerate(b) if x in again)})
 
 
-def overlapping_pairs(lines: DataFrame) -> DataFrame:
-    """(doc, first): documents that share a line, each with the first holder of that line.
+def later_holders(lines: DataFrame) -> DataFrame:
+    """(doc, line, first): every later holder of a line of enough words, with the line's first holder.
 
     ``lines(doc, digests)``, stored; doc is a struct that sorts by rank.
     """
     spread = lines.select("doc", F.explode(F.filter(F.array_distinct("digests"), lambda x: F.pmod(x, F.lit(2)) == 1)).alias("line"))
     first = spread.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first")
-    return spread.join(first, "line").filter("doc <> first").select("doc", "first").distinct()
+    return spread.join(first, "line").filter("doc <> first").select("doc", "line", "first")
+
+
+def rest_aligned(a: list[int], gone_a: list[int] | None, b: list[int], gone_b: list[int] | None) -> list[int]:
+    """As :func:`aligned_lines`, of what is left of both."""
+    gone_a, gone_b = set(gone_a or ()), set(gone_b or ())
+    at = [k for k in range(len(b)) if k not in gone_b]
+    return [at[k] for k in aligned_lines([x for k, x in enumerate(a) if k not in gone_a], [b[k] for k in at])]
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, gone_a, b, gone_b = (batch.column(c).to_pylist() for c in ("a", "gone_a", "b", "gone_b"))
+        gone = [rest_aligned(*x) for x in zip(a, gone_a, b, gone_b, strict=True)]
+        held = [list({y[k] for k in lost if y[k] & 1}) for y, lost in zip(b, gone, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("partner"), pa.array(gone, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))], ["doc", "partner", "lines", "held"])
+
+
+def _gone(pairs: DataFrame, lines: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(doc, partner, lines, held): what each of ``pairs(doc, partner)`` aligns beyond ``before``."""
+    if before is None:
+        lines = lines.withColumn("gone", F.lit(None).cast("array<int>"))
+    else:
+        lines = lines.join(before.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone")), "doc", "left")
+    pairs = pairs.join(lines.select(F.col("doc").alias("partner"), F.col("digests").alias("a"), F.col("gone").alias("gone_a")), "partner")
+    pairs = pairs.join(lines.select("doc", F.col("digests").alias("b"), F.col("gone").alias("gone_b")), "doc")
+    kind = "struct<doc_id:bigint,text_key:bigint>"
+    found = pairs.select("doc", "partner", "a", "gone_a", "b", "gone_b").mapInArrow(_align, f"doc {kind}, partner {kind}, lines array<int>, held array<bigint>")
+    return cut(found.filter(F.size("lines") > 0))
 
 
 def aligned(docs: DataFrame, min_words: int = 3) -> DataFrame:
     """(doc_id, text_key, partners, lines): what the later documents lose; lines counts from 0."""
     doc = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
     lines = cut(docs.filter("doc_id is not null").select(doc.alias("doc"), line_digests(F.col("text"), min_words).alias("digests")).distinct())
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            gone = [aligned_lines(a, b) for a, b in both]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(gone, pa.list_(pa.int32()))], ["doc", "lines"])
-
-    kind = "struct<doc_id:bigint,text_key:bigint>"
-    pairs = overlapping_pairs(lines)
-    pairs = pairs.join(lines.select(F.col("doc").alias("first"), F.col("digests").alias("a")), "first")
-    pairs = pairs.join(lines.select("doc", F.col("digests").alias("b")), "doc").select("doc", "a", "b")
-    gone = pairs.mapInArrow(align, f"doc {kind}, lines array<int>").filter(F.size("lines") > 0)
-    return gone.groupBy("doc").agg(F.count("*").alias("partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")).select("doc.*", "partners", "lines")
+    later = cut(later_holders(lines))
+    new = gone = _gone(later.select("doc", F.col("first").alias("partner")).distinct(), lines, None)
+    left = later.select("doc", "line")
+    while not new.isEmpty():
+        left = cut(left.join(new.select("doc", F.explode("held").alias("line")).distinct(), ["doc", "line"], "left_anti"))
+        pairs = left.withColumn("partner", F.lag("doc").over(Window.partitionBy("line").orderBy("doc")))
+        new = _gone(pairs.filter("partner is not null").select("doc", "partner").distinct(), lines, gone)
+        gone = gone.unionByName(new)
+    return gone.groupBy("doc").agg(F.size(F.collect_set("partner")).cast("long").alias("partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")).select("doc.*", "partners", "lines")
 
 
 def without_lines(text: Column, lines: Column) -> Column:

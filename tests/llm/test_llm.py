@@ -245,6 +245,15 @@ def test_line_dedup(spark, small, awkward, empty):
     assert linealign.dedup_documents(empty).count() == 0
 
 
+def test_copies_of_a_document_in_another_order(spark):
+    x, y, z = "a line of words", "another line of words", "one more line of words"
+    rows = [(1, f"{y}\n{x}"), (2, f"{x}\n{y}"), (3, f"{x}\n{y}"), (4, f"own words of four\n{x}\n{y}"), (5, f"{z}"), (6, f"{z}\n{z}")]
+    got = {r["doc_id"]: r for r in linealign.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got[2]["removed_lines"]) == 1
+    assert {k: r["removed_lines"] for k, r in got.items() if k != 2} == {1: [], 3: [0, 1], 4: [1, 2], 5: [], 6: [0, 1]}
+    assert got[3]["partners"] == 2
+
+
 # chat
 
 
