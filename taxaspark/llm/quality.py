@@ -26,7 +26,17 @@ TERMINAL = r"""[.!?…。！？:;][)\]"'”’»\s]*$"""
 SENTENCE = r"""[.!?…。！？][)\]"'”’»]*\s+\w"""
 
 
-def _line_passes(max_symbol_share: float) -> callable:
+#: What parts sentences.
+BETWEEN = r"(?<=[.!?…])\s+|(?<=[。！？])\s*"
+
+
+def _mentions(line: Column) -> Column:
+    """Whether sentences with phrases of boilerplate make up no more than half of a line."""
+    held = F.filter(F.split(line, BETWEEN, -1), lambda x: x.rlike(BOILERPLATE))
+    return 2 * F.length(F.array_join(held, "")) <= F.length(line)
+
+
+def _line_passes(max_symbol_share: float, by_share: bool) -> callable:
     def passes(line: Column) -> Column:
         chars = F.length(line)
         symbols = F.regexp_count(line, F.lit(SYMBOLS))
@@ -35,7 +45,7 @@ def _line_passes(max_symbol_share: float) -> callable:
             (line.rlike(TERMINAL) | line.rlike(SENTENCE))
             & (symbols <= chars * max_symbol_share)
             & (shouts <= F.greatest(F.lit(4), chars * max_symbol_share))
-            & ~line.rlike(BOILERPLATE)
+            & ((~line.rlike(BOILERPLATE) | _mentions(line)) if by_share else ~line.rlike(BOILERPLATE))
             & ~F.lower(line).rlike(NAVIGATION)
         )
 
@@ -54,7 +64,7 @@ def repeated_window_words(hashes: Column, at: Column, size: int) -> Column:
     return F.aggregate(found, start, step, lambda acc: acc["n"])
 
 
-def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_percent: int = 20, max_symbol_share: float = 0.08, max_loss: float = 0.6) -> DataFrame:
+def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_percent: int = 20, max_symbol_share: float = 0.08, max_loss: float = 0.6, by_share: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
@@ -62,7 +72,8 @@ def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_pe
     that pass, with the blank lines between them). A line passes if it ends in terminal
     punctuation or holds a whole sentence, has few symbols and no shouting, and is neither navigation nor boilerplate.
     A document is kept unless ``base_failed`` or ``loss > max_loss``; boilerplate alone doesn't
-    count as loss. Null text has no words, so it fails. Repeated rows are judged each by itself;
+    count as loss. With ``by_share`` it does, and a line is boilerplate only if sentences with its phrases
+    make up more than half of it, so prose that mentions one stays. Null text has no words, so it fails. Repeated rows are judged each by itself;
     other columns are ignored. Window digests are 64 bits wide and compared within one text only.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -74,10 +85,10 @@ def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_pe
     df = df.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
     sorted_windows = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("sorted", F.when(F.col("repeats"), sorted_windows))
-    passes = _line_passes(max_symbol_share)
+    passes = _line_passes(max_symbol_share, by_share)
     blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
     df = df.withColumn("passed", F.filter("lines", lambda x: blank(x) | passes(x)))
-    df = df.withColumn("failed", F.filter("full", lambda x: ~passes(x) & ~x.rlike(BOILERPLATE)))
+    df = df.withColumn("failed", F.filter("full", lambda x: ~passes(x) if by_share else ~passes(x) & ~x.rlike(BOILERPLATE)))
     bare = lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", ""))
     df = df.select(
         "doc_id",
@@ -101,10 +112,10 @@ def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_pe
 
 def clean_documents(docs: DataFrame, **rules) -> DataFrame:
     """Rows of ``docs(doc_id, text, ...)`` that are kept, their text without the failing lines and
-    n_chars, if there is one, made to fit."""
+    n_chars, if there is one, made to fit. Boilerplate is judged by its share and counts as loss."""
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    kept = quality(marked, **rules).filter("kept").withColumnRenamed("doc_id", "_row")
+    kept = quality(marked, **{"by_share": True} | rules).filter("kept").withColumnRenamed("doc_id", "_row")
     own["text"] = F.col("cleaned")
     if "n_chars" in own:
         own["n_chars"] = F.length("cleaned").cast("long")

@@ -81,6 +81,15 @@ def test_quality_verdicts(spark):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept} == {1: (prose, len(prose)), 3: (prose, len(prose))}
 
 
+def test_boilerplate_counts_as_loss(spark):
+    prose = "This is a plain sentence that any page may hold, with enough words to be kept."
+    once = f"{prose} Nobody had read the privacy policy. Later on it rained, and that was all there was to it."
+    alone = "By going on you agree to our privacy policy and to the terms of use of it all."
+    rows = {1: once, 2: alone, 3: f"{alone}\nAll rights reserved.\n{prose}", 4: f"{prose}\nAll rights reserved."}
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in rows.items()], DOCS)
+    assert dict(pairs(quality.clean_documents(df))) == {1: once, 3: prose, 4: prose}
+
+
 # near duplicates
 
 
