@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a task turns into Python values at once, or one longer text.
+BYTES = 4 << 20
 #: ASCII white space, as the operators' word rules define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -85,3 +90,15 @@ def in_blocks(df: DataFrame, order: Iterable[str], limit: int, use: Callable[[Da
         part = use(df.filter(at == k))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def parts(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``BYTES`` of text in the given columns."""
+    sizes = [pc.binary_length(batch.column(k)).fill_null(0).to_numpy(zero_copy_only=False) for k in columns]
+    ends = np.cumsum(np.sum(sizes, axis=0), dtype=np.int64)
+    k = 0
+    while k < len(ends):
+        limit = BYTES + (ends[k - 1] if k else 0)
+        end = max(k + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(k, end - k)
+        k = end

@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import cut
+from taxaspark.llm.common import cut, parts
 
 #: Buckets that share the ranking of one length.
 BUCKETS = 1024
-#: Bytes of text that are encoded together, or one longer text.
-BYTES = 4 << 20
 #: Chunks whose ids a worker keeps; beyond, those that came once go, and the rarer half of the rest
 #: if these are too many still. Only speed depends on it.
 KEPT_CHUNKS = 400_000
@@ -164,24 +162,13 @@ def _encoder(path: str) -> _Encoder:
     return _ENCODERS[path]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of at most ``BYTES`` of text, its second column."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    k = 0
-    while k < len(ends):
-        limit = BYTES + (ends[k - 1] if k else 0)
-        end = max(k + 1, int(np.searchsorted(ends, limit, "right")))
-        yield batch.slice(k, end - k)
-        k = end
-
-
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of ``docs(doc_id, text)``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for whole in batches:
-            for batch in _parts(whole):
+            for batch in parts(whole, 1):
                 docs = batch.column(0).to_pylist()
                 ids, at = encoder.encode(batch.column(1).fill_null(""))
                 rows = []

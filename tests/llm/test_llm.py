@@ -20,7 +20,7 @@ import brute
 import oracle
 
 import corpus_pipeline
-from taxaspark.llm import chat, components, decontaminate, linealign, linehash, packing, pii, quality, queries, simhash, sitetree, toxicity
+from taxaspark.llm import chat, common, components, decontaminate, linealign, linehash, packing, pii, quality, queries, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{k % 977}x{k % 31}" for k in range(30_000))
@@ -325,9 +325,9 @@ def test_encoder_equals_the_tokenizer(kept, monkeypatch):
 
 @pytest.mark.parametrize("sizes", [[], [0, 0], [3, 0, None, 9, 4, 1, 5, 20], [20, 20]])
 def test_parts(sizes, monkeypatch):
-    monkeypatch.setattr(packing, "BYTES", 10)
+    monkeypatch.setattr(common, "BYTES", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), pa.array([n if n is None else "x" * n for n in sizes], pa.string())], ["doc_id", "text"])
-    parts = [p.column(0).to_pylist() for p in packing._parts(batch)]
+    parts = [p.column(0).to_pylist() for p in common.parts(batch, 1)]
     assert sum(parts, []) == list(range(len(sizes))) and all(len(p) == 1 or sum(sizes[k] or 0 for k in p) <= 10 for p in parts)
 
 
@@ -349,36 +349,6 @@ def test_pack(awkward, empty):
     assert packing.pack(empty, queries.tokenizer_path()).count() == 0
 
 
-# pages
-
-
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        (None, ""),
-        ("", ""),
-        ("<p>a &lt;b&gt;&#233; <b>c</b><br>d<p>e", "a <b>é c d\n\ne"),
-        ("<nav>n</nav><article><header><h1>T</h1></header><p>x<script>if (a<b) '</p>'</script>y</p><div class='ad'>z</div><section id=comments>c</section></article><footer>f", "T\n\nxy"),
-        ("<main><ul><li>a<li>b</ul><form>q</form><table><tr><td>1<td>2</table></main><div>out</div>", "a\n\nb\n\n1\n\n2"),
-        ("<article><p>1 < 2 & 3</p><!-- x --><aside>s</aside><blockquote>q</blockquote></article>", "1 < 2 & 3\n\nq"),
-        ("<div class='site-header'>s</div><div>main <a href='x>y'>link</a></div><div role=navigation>n</div>", "main link"),
-        ("</p></div><p>stray</i></p>", "stray"),
-    ],
-)
-def test_parse(html, text):
-    assert "\n\n".join(t for _, t in sitetree.parse(html or "")) == text
-
-
-def test_site_tree(spark):
-    page = "<div class=x><p>Same words on all pages</p></div><div class=y><p>Own words {0} here</p></div>"
-    rows = [(k, f"https://h.example/{k}", page.format(k)) for k in range(20)] + [(99, "https://other.example/", page.format(0)), (100, None, None), (3, "https://h.example/3", page.format(3))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    got = as_rows(sitetree.extract(df), "page_id", "text")
-    want = [(k, f"Own words {k} here") for k in [*range(20), 3]] + [(99, "Same words on all pages\n\nOwn words 0 here"), (100, "")]
-    assert got == sorted(want, key=repr)
-    assert sitetree.extract(df.filter("false")).count() == 0
-
-
 # personal data
 
 
