@@ -44,12 +44,12 @@ def bbox(lat0: float, lat1: float, lon0: float, lon1: float) -> Column:
 
 
 def parse_coordinate(text: Column) -> Column:
-    """Struct (lat, lon) of "lat, lon" text, parted by space, comma or semicolon; null if it is
-    none or out of range."""
-    number = r"([-+]?\d+(?:\.\d+)?)"
-    pattern = rf"^\s*{number}(?:\s*[,;]\s*|\s+){number}\s*$"
-    lat, lon = (F.regexp_extract(text, pattern, k).try_cast("double") for k in (1, 2))
-    return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
+    """Struct (lat, lon) of two plain numbers parted by a comma, semicolon or spaces; null if the text
+    is something else or the numbers are out of range."""
+    words = F.split(F.trim(text), r"\s*[,;]\s*|\s+", -1)
+    plain = F.forall(words, lambda w: w.rlike(r"^[-+]?\d+(\.\d+)?$"))
+    lat, lon = (F.get(words, F.lit(k)).try_cast("double") for k in (0, 1))
+    return F.when((F.size(words) == 2) & plain & lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
 def coordinate_box(lat: Column, lon: Column) -> Column:
@@ -59,6 +59,13 @@ def coordinate_box(lat: Column, lon: Column) -> Column:
     return F.struct((lat - up).alias("lat0"), (lat + up).alias("lat1"), (lon - side).alias("lon0"), (lon + side).alias("lon1"))
 
 
+def near_point(text: str) -> Column:
+    """Whether lat and lon lie in the box around a point given as text; false if it is none."""
+    point = parse_coordinate(F.lit(text))
+    box = coordinate_box(point["lat"], point["lon"])
+    return F.coalesce(F.col("lat").between(box["lat0"], box["lat1"]) & F.col("lon").between(box["lon0"], box["lon1"]), F.lit(False))
+
+
 def location_filter(place: str) -> Column:
     """Up to three characters: country code, or country or state by equality; longer: a case-blind
     substring of any place column."""
@@ -150,6 +157,11 @@ def sentence_case(c: Column) -> Column:
     return F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 2**31 - 1))
 
 
+def title_case(c: Column) -> Column:
+    """Each word parted by spaces starts with a capital, the rest in lower case."""
+    return F.initcap(c)
+
+
 def author_case(c: Column) -> Column:
     """Each word and each part between hyphens starts with a capital."""
     return F.array_join(F.transform(F.split(c, "-"), F.initcap), "-")

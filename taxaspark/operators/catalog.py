@@ -132,9 +132,9 @@ def unique_meta(meta: DataFrame) -> DataFrame:
 
 
 def species_matches(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """Groups by name key with a name and whether any row of the group has each flag."""
+    """Groups by name key with a name, whether any row of the group has each flag, and n, their rows."""
     made = [F.coalesce(F.bool_or(c), F.lit(False)).alias(f"hit_{f}") for f, c in flags.items()]
-    return df.groupBy(keys.underscore_key("species").alias("species_key")).agg(F.min("species").alias("species"), *made)
+    return df.groupBy(keys.underscore_key("species").alias("species_key")).agg(F.min("species").alias("species"), *made, F.count("*").alias("n"))
 
 
 def match_flags(query: str, fields: Iterable[str] = exprs.SEARCH_FIELDS) -> dict[str, Column]:
@@ -182,10 +182,11 @@ def value_range(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_representative(df: DataFrame, order: str = "img_id") -> DataFrame:
-    """Marks the first row of each cluster; a null cluster counts as -1."""
-    cluster = F.coalesce("cluster_label", F.lit(-1))
-    first = F.min(order).over(W.partitionBy(cluster))
-    return df.withColumn("cluster_label", cluster).withColumn("is_representative", F.col(order) == first)
+    """Marks the first row of each cluster; a null cluster counts as -1. The firsts are an aggregate
+    of one row a cluster, so no cluster is gathered."""
+    rows = df.withColumn("cluster_label", F.coalesce("cluster_label", F.lit(-1)))
+    firsts = rows.groupBy("cluster_label").agg(F.min(order).alias("_first"))
+    return rows.join(firsts, "cluster_label").withColumn("is_representative", F.col(order) == F.col("_first")).select(*df.columns, "is_representative")
 
 
 def distinct_by(df: DataFrame, key: str, *order: str) -> DataFrame:

@@ -81,7 +81,10 @@ def gene_categories(counts: DataFrame, key: str = "species") -> DataFrame:
 
 
 def occurrence_points(df: DataFrame, limit: int = POINTS) -> DataFrame:
-    """Up to ``limit`` located records of each species, by id; the limit is a map's."""
+    """Up to ``limit`` located records of each species, by id; the limit is a map's. Records marked
+    by hasGeospatialIssue, where there is such a column, are left out."""
+    if "hasGeospatialIssue" in df.columns:
+        df = df.filter(~F.coalesce("hasGeospatialIssue", F.lit(False)))
     rank = F.row_number().over(W.partitionBy("species").orderBy("img_id"))
     return catalog.valid_coords(df).withColumn("rank", rank).filter(F.col("rank") <= limit)
 
@@ -90,7 +93,10 @@ class _Sections(HTMLParser):
     """Splits a page at its headings; tables are parts of their own."""
 
     SKIPPED = ("script", "style", "nav", "footer", "head", "noscript")
-    SKIPPED_CLASSES = ("mw-editsection", "stub", "catlinks", "metadata", "ad")
+    SKIPPED_CLASSES = ("mw-editsection", "taxobox-edit-taxonomy", "stub", "metadata", "noprint", "ad")
+    SKIPPED_IDS = ("catlinks",)
+    #: Of boxes of links only those with this heading are a part, with their rows' second cells.
+    BOX, BOX_HEADING = "navbox", re.compile(r"(?i)taxon identifiers?")
     VOID = ("br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track", "param")
 
     def __init__(self, heading: str) -> None:
@@ -98,6 +104,7 @@ class _Sections(HTMLParser):
         self.heading, self.found = heading, []
         self.title, self.text, self.in_heading = "", [], False
         self.kind, self.skip, self.open = "section", 0, []
+        self.box, self.cells, self.cell = 0, [], 0
 
     def close_part(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -105,14 +112,33 @@ class _Sections(HTMLParser):
             self.found.append((self.kind, self.title.strip(), text))
         self.text = []
 
+    def close_box(self) -> None:
+        """A box of identifiers: the second cell of each row, repeats dropped."""
+        plain = [(n, " ".join("".join(parts).split())) for n, parts in self.cells]
+        if any(self.BOX_HEADING.search(t) for _, t in plain):
+            second = dict.fromkeys(t for n, t in plain if n == 2 and t)
+            self.found.append(("identifiers", "", " · ".join(second)))
+
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
             self.text.append(" ")
             return
-        names = (dict(attrs).get("class") or "").split()
-        hidden = tag in self.SKIPPED or any(c in self.SKIPPED_CLASSES for c in names)
-        self.open.append((tag, hidden))
+        found = dict(attrs)
+        names = (found.get("class") or "").split()
+        hidden = tag in self.SKIPPED or any(c in self.SKIPPED_CLASSES for c in names) or found.get("id") in self.SKIPPED_IDS
+        boxed = self.BOX in names and not self.skip
+        self.open.append((tag, hidden, boxed))
         self.skip += hidden
+        if boxed and not self.box:
+            self.cells, self.cell = [], 0
+        self.box += boxed
+        if self.box:
+            if tag == "tr":
+                self.cell = 0
+            elif tag in ("td", "th", "caption"):
+                self.cell += tag != "caption"
+                self.cells.append((self.cell, []))
+            return
         if tag == self.heading and not self.skip:
             self.close_part()
             self.title, self.in_heading = "", True
@@ -123,12 +149,17 @@ class _Sections(HTMLParser):
             self.text.append(" ")
 
     def handle_endtag(self, tag):
-        if not any(t == tag for t, _ in self.open):
+        if not any(t == tag for t, *_ in self.open):
             return
         while self.open:
-            was, hidden = self.open.pop()
+            was, hidden, boxed = self.open.pop()
             self.skip -= hidden
-            if was == self.heading:
+            self.box -= boxed
+            if boxed and not self.box:
+                self.close_box()
+            elif self.box:
+                pass
+            elif was == self.heading:
                 self.in_heading = False
             elif was == "table" and self.kind != "section":
                 self.close_part()
@@ -139,7 +170,10 @@ class _Sections(HTMLParser):
     def handle_data(self, data):
         if self.skip:
             return
-        if self.in_heading:
+        if self.box:
+            if self.cells:
+                self.cells[-1][1].append(data)
+        elif self.in_heading:
             self.title += data
         else:
             self.text.append(data)

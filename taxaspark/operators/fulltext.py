@@ -1,16 +1,19 @@
 """BM25 full-text search over the columns of a table.
 
-The index is a DataFrame of postings (id, field, term, tf) and one of field lengths; both are made by
-native expressions and can be stored, by term, for later queries.
+One query over a table is one scan: each row counts the query's terms in its own words, and only
+numbers of rows and mean lengths are aggregated. For many queries the index is stored: postings (id,
+field, term, tf), by term, and field lengths. Both are made by native expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaspark.functions import exprs, keys
@@ -21,10 +24,20 @@ ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceee
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of a-z once accents are stripped, without stop words."""
+#: The columns of occurrence records that are searched.
+OCCURRENCE_COLUMNS = (
+    "species", "genus", "family", "order", "vernacularName", "sex", "lifeStage", "continent", "island", "countryCode", "stateProvince", "county", "municipality", "locality",
+    "verbatimLocality", "level1Name",
+)
+Stem = Callable[[Column], Column]
+
+
+def tokens(text: Column, stem: Stem | None = None) -> Column:
+    """Lower-case words of a-z once accents are stripped, without stop words; ``stem`` maps a word to
+    its stem by Spark expressions."""
     folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS)
-    return F.filter(F.split(folded, "[^a-z]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    words = F.filter(F.split(folded, "[^a-z]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    return F.transform(words, stem) if stem else words
 
 
 def query_terms(query: str) -> list[str]:
@@ -36,14 +49,33 @@ def query_terms(query: str) -> list[str]:
 class TextIndex:
     postings: DataFrame  # id, field, term, tf
     lengths: DataFrame  # id, field, len
+    stem: Stem | None = None
 
 
-def build_fts(df: DataFrame, key: str, columns: Iterable[str]) -> TextIndex:
-    """Index of the given columns; ``key`` identifies a row."""
-    spread = df.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(f"`{c}`")).alias("words")) for c in columns])).alias("f"))
+def build_fts(df: DataFrame, key: str, columns: Iterable[str], stem: Stem | None = None) -> TextIndex:
+    """Index of the given columns; ``key`` identifies a row. A query's terms are stemmed as it is."""
+    spread = df.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(f"`{c}`"), stem).alias("words")) for c in columns])).alias("f"))
     spread = spread.select("id", "f.field", "f.words")
     words = spread.select("id", "field", F.explode("words").alias("term"))
-    return TextIndex(words.groupBy("id", "field", "term").agg(F.count("*").alias("tf")), spread.select("id", "field", F.size("words").alias("len")))
+    return TextIndex(words.groupBy("id", "field", "term").agg(F.count("*").alias("tf")), spread.select("id", "field", F.size("words").alias("len")), stem)
+
+
+def store_fts(index: TextIndex, path: str, overwrite: bool = False) -> TextIndex:
+    """Write an index below a path, postings sorted by term so that a query reads few of their row
+    groups, and give the stored one. One that is there stays unless ``overwrite``."""
+    mode = "overwrite" if overwrite else "ignore"
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
+    index.lengths.write.mode(mode).parquet(f"{path}/lengths")
+    return open_fts(index.postings.sparkSession, path, index.stem)
+
+
+def open_fts(spark: SparkSession, path: str, stem: Stem | None = None) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stem)
+
+
+def _part(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def bm25(index: TextIndex, query: str, fields: Iterable[str] | None = None) -> DataFrame:
@@ -52,25 +84,46 @@ def bm25(index: TextIndex, query: str, fields: Iterable[str] | None = None) -> D
     chosen = F.col("field").isin(*fields) if fields is not None else F.lit(True)
     lengths = index.lengths.filter(chosen).groupBy("id").agg(F.sum("len").alias("len"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = index.postings.filter(chosen & F.col("term").isin(*query_terms(query))).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    wanted = F.array_contains(tokens(F.lit(query), index.stem), F.col("term")) if index.stem else F.col("term").isin(*query_terms(query))
+    hits = index.postings.filter(chosen & wanted).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most the query's terms
     joined = hits.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(totals))  # totals: one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return joined.groupBy("id").agg(F.sum(part).alias("score"))
+    return joined.groupBy("id").agg(F.sum(_part(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("mean"))).alias("score"))
+
+
+def _times(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
+def scan_scores(df: DataFrame, key: str, columns: Iterable[str], query: str) -> DataFrame:
+    """As :func:`bm25` of an index of the columns, without one: no word is exploded or shuffled.
+    ``key`` must identify a row."""
+    terms = query_terms(query)
+    words = df.select(F.col(key).alias("id"), tokens(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in columns])).alias("words"))
+    counts = words.select("id", F.size("words").alias("len"), *[_times(F.col("words"), t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    ends = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    held = reduce(lambda a, k: a | (F.col(f"tf{k}") > 0), range(len(terms)), F.lit(False))
+    parts = [_part(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("n"), F.col("len"), F.col("mean")) for k in range(len(terms))]
+    return counts.filter(held).crossJoin(F.broadcast(ends)).select("id", reduce(add, parts, F.lit(0.0)).alias("score"))  # ends: one row
 
 
 def fts_search(df: DataFrame, key: str, columns: list[str], query: str, unique: bool = True, limit: int = 100, index: TextIndex | None = None) -> DataFrame:
-    """Ranked rows: (species, id, score, matched_fields).
+    """Ranked rows: (species, id, score, matched_fields); of a stored index where one is given.
 
-    ``unique`` takes the best row of each species before the limit. Blank species are dropped
-    after it, so fewer rows may come; names are given as keys.
+    ``unique`` takes the best row of each species before the limit, of equal ones that of the least
+    id. Blank species are dropped after it, so fewer rows may come; names are given as keys.
     """
-    scored = bm25(index or build_fts(df, key, columns), query, columns)
+    scored = bm25(index, query, columns) if index else scan_scores(df, key, columns, query)
     rows = df.select(F.col(key).alias("id"), *[c for c in dict.fromkeys(["species", *columns]) if c != key]).join(scored, "id")
     if unique:
-        best = rows.groupBy("species").agg(F.max_by(F.struct(*rows.columns), F.struct("score", F.struct(-F.hash("id"), "id"))).alias("r"))
+        best = rows.groupBy("species").agg(F.min_by(F.struct(*rows.columns), F.struct(-F.col("score"), "id")).alias("r"))
         rows = best.select("r.*")
     top = rows.orderBy(F.desc("score"), "id").limit(limit)
     fields = exprs.token_matched_fields([c for c in columns if c in rows.columns], query)
     return top.filter(exprs.not_blank(F.col("species"))).select(keys.underscore_key(F.trim("species")).alias("species"), "id", exprs.rounded_score(F.col("score")).alias("score"), fields.alias("matched_fields"))
+
+
+def search_occurrences(df: DataFrame, query: str, key: str, limit: int = 100, index: TextIndex | None = None) -> DataFrame:
+    """Species by any searched column of occurrence records, best first; nothing for an empty query."""
+    found = fts_search(df, key, [c for c in OCCURRENCE_COLUMNS if c in df.columns], query.strip(), limit=limit, index=index)
+    return found if query.strip() else found.limit(0)

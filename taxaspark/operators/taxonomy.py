@@ -16,9 +16,9 @@ AFFINITIES = ("CanopyAffinity", "EdgeAffinity", "MoistureAffinity", "Disturbance
 
 
 def cleaned(c: Column) -> Column:
-    """Null for "NA", "null" and blanks."""
-    text = F.trim(c.cast("string"))
-    return F.when(F.lower(text).isin("na", "null", ""), None).otherwise(text)
+    """Null for "NA", "null" and the empty text, as they are written here."""
+    text = c.cast("string")
+    return F.when(text.isin("NA", "null", ""), None).otherwise(text)
 
 
 def decoded_int(c: Column) -> Column:
@@ -57,6 +57,7 @@ def with_trait_labels(df: DataFrame) -> DataFrame:
 
 
 def traits_of(df: DataFrame, name: str, column: str = "species") -> DataFrame:
+    """First row of a species, as stored; :func:`decode_traits` types it."""
     return df.filter(keys.lower_key(column) == name.lower()).orderBy(*df.columns).limit(1)
 
 
@@ -92,10 +93,12 @@ def species_profile(taxonomy: DataFrame, traits: DataFrame, red_list: DataFrame
 
 
 def profile_text(taxonomy: list[str], traits: list[str]) -> Column:
-    """Bullet lines of the fields that aren't null or empty, under two headings, and a closing line."""
+    """Bullet lines of the fields that aren't null or empty, under two headings, and a closing line. A
+    side without such a field has no heading either."""
 
-    def lines(columns: list[str]) -> list[Column]:
-        return [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"- {c.capitalize()}: "), F.col(c).cast("string"))) for c in columns]
+    def part(heading: str, columns: list[str]) -> Column:
+        lines = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"- {c.capitalize()}: "), F.col(c).cast("string"))) for c in columns]
+        text = F.concat_ws("\n", *lines)
+        return F.when(text != "", F.concat(F.lit(f"{heading}\n"), text))
 
-    parts = [F.concat_ws("\n", F.lit("Taxonomy Information:"), *lines(taxonomy)), F.concat_ws("\n", F.lit("Traits Information:"), *lines(traits)), F.lit(CLOSING)]
-    return F.array_join(F.array(*parts), "\n\n")
+    return F.concat_ws("\n\n", part("Taxonomy Information:", taxonomy), part("Traits Information:", traits), F.lit(CLOSING))

@@ -100,19 +100,44 @@ def search_by_vector(df: DataFrame, meta: DataFrame, query: list[float], column:
     return best_per_species(catalog.with_meta(vector_search(df, query, column, k), meta))
 
 
+#: Items that are compared with a block of queries at once.
+ITEM_BLOCK = 2000
+
+
+def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k least distances (rounded, then by id) and their ids, in no order."""
+    if distance.shape[1] <= k:
+        return distance, ids
+    rounded = np.round(distance, 9)
+    kept = np.argpartition(rounded, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(rounded, kept, axis=1).max(axis=1)
+    for row in np.flatnonzero((rounded <= edge[:, None]).sum(axis=1) > k):  # ties at the edge
+        near = np.flatnonzero(rounded[row] <= edge[row])
+        kept[row] = near[np.lexsort((ids[row, near], rounded[row, near]))[:k]]
+    return np.take_along_axis(distance, kept, axis=1), np.take_along_axis(ids, kept, axis=1)
+
+
 def _local_top(queries: np.ndarray, numbers: np.ndarray, column: str, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The k nearest items of a whole partition to each query, kept from batch to batch."""
+
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            items = np.array(pdf[column].tolist(), float)
-            size = np.linalg.norm(items, axis=1)
-            distance = 1 - queries @ (items / np.where(size == 0, 1, size)[:, None]).T
-            distance[:, size == 0] = 1
-            n = min(k, len(pdf))
-            ids = pdf["img_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(ids, distance.shape), np.round(distance, 9)), axis=1)[:, :n]
-            yield pd.DataFrame({"query": np.repeat(numbers, n), "imgId": ids[order].ravel(), "distance": np.take_along_axis(distance, order, axis=1).ravel()})
+            for at in range(0, len(pdf), ITEM_BLOCK):
+                part = pdf.iloc[at : at + ITEM_BLOCK]
+                items = np.array(part[column].tolist(), float)
+                size = np.linalg.norm(items, axis=1)
+                distance = 1 - queries @ (items / np.where(size == 0, 1, size)[:, None]).T
+                distance[:, size == 0] = 1
+                ids = np.broadcast_to(part["img_id"].to_numpy(), distance.shape)
+                if best is not None:
+                    distance, ids = np.hstack([best[0], distance]), np.hstack([best[1], ids])
+                best = _nearest(distance, ids, k)
+        if best is not None:
+            n = best[0].shape[1]
+            for q in range(0, len(numbers), ITEM_BLOCK):
+                distance, ids = (x[q : q + ITEM_BLOCK] for x in best)
+                yield pd.DataFrame({"query": np.repeat(numbers[q : q + ITEM_BLOCK], n), "imgId": ids.ravel(), "distance": distance.ravel()})
 
     return top
 
@@ -122,7 +147,7 @@ def batch_top_k(queries: DataFrame, items: DataFrame, k: int = 800, column: str
     ``queries(query long, centroid)`` by cosine.
 
     Queries are taken in blocks of a bounded number of vectors, each sent to the tasks; items stay
-    where they are and each batch keeps only its own k best, which a window then ranks.
+    where they are and each partition keeps only its own k best, which a window then ranks.
     """
     rows = queries.select("query", l2_normalize(F.col("centroid")).alias("v")).orderBy("query").toLocalIterator()
     kind = dict(items.dtypes)["img_id"]

@@ -9,10 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Parts that the catalog's rows are dealt to.
-CATALOG_PARTS = 200
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,7 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation, region, part = (_read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region", "part"))
     df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return df.join(part, F.col("p_partkey") == F.col("o_orderkey") % CATALOG_PARTS)
+    parts = part.agg(F.count("*").alias("n_parts"))  # one row; orders are dealt to all parts
+    return df.crossJoin(F.broadcast(parts)).join(part, F.col("p_partkey") == F.col("o_orderkey") % F.col("n_parts"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +53,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), "embedding")
 
 
+def vector_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.concat(F.lit("/img/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("img_path"))
+
+
+def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taxonomy table: a record of each part, with gaps."""
+    key, none = F.col("p_partkey"), F.lit(None).cast("string")
+    return _read(spark, sf_dir, "part").select(
+        key.alias("key"), none.alias("kingdom"), none.alias("phylum"), none.alias("class"), F.when(key % 3 != 0, F.col("p_brand")).alias("order"), F.col("p_type").alias("family"),
+        F.split("p_name", " ")[0].alias("genus"), F.col("p_name").alias("species"), none.alias("authorship"), F.when(key % 4 != 0, F.col("p_brand")).alias("vernacularName"),
+        F.when(key % 2 == 0, F.col("p_type")).alias("redlistCategory"), F.when(key % 5 == 0, "SYNONYM").alias("taxonomicStatus"))
+
+
 def vector_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _read(spark, sf_dir, "embeddings")
     return v.select(F.col("vec_id").alias("img_id"), F.concat(F.lit("Genus_species"), F.col("label").cast("string")).alias("species"), F.lit("gbif").alias("source_db"), F.when(F.col("vec_id") % 2 == 0, "dorsal").otherwise("ventral").alias("class_dv"))
@@ -81,6 +91,17 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("DOI"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("abstract"), year.alias("year"), F.when(F.col("doc_id") % 3 == 0, "book").otherwise("journal-article").alias("type"), (F.col("n_chars") % 1000).alias("relevance"))
 
 
+def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works as a service gives them: nested, and with gaps."""
+    key = F.col("doc_id")
+    title = F.when(key % 5 != 0, F.array(F.concat(F.lit("STUDY &amp; "), key.cast("string"))))
+    year = F.when(key % 11 != 0, F.array(F.array((1980 + key % 45).cast("string"))))
+    author = F.array(F.struct(F.lit("ann-lee").alias("given"), F.col("lang").alias("family")))
+    return _read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("10.1/"), key.cast("string")).alias("DOI"), title.alias("title"), author.alias("author"), F.when(key % 3 != 0, F.array("source")).alias("container-title"),
+        F.struct(year.alias("date-parts")).alias("published"), F.when(key % 2 == 0, "1").alias("volume"), F.lit(None).cast("string").alias("issue"), F.lit(None).cast("string").alias("page"))
+
+
 def gene_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events").select("event_type", "user_id").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("a"), F.count("*").alias("b"))
     json = F.format_string('{"gene_counts":[{"gene_type":"PROTEIN_CODING","count":"%d"},{"gene_type":"lncRNA","count":"%d"},{"gene_type":"pseudo-gene","count":"x"},{"count":"7"}]}', "a", "b")
@@ -89,7 +110,7 @@ def gene_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The views as SQL, by name.
 SQL = {
-    "catalog": f"""SELECT o_orderkey AS img_id, p_name AS species, p_type AS family, split_part(p_name, ' ', 1) AS genus, p_brand AS "order",
+    "catalog": """SELECT o_orderkey AS img_id, p_name AS species, p_type AS family, split_part(p_name, ' ', 1) AS genus, p_brand AS "order",
         c_name AS common_name, CASE o_orderstatus WHEN 'F' THEN 'female' WHEN 'O' THEN 'male' END AS sex,
         CASE o_orderpriority WHEN '1-URGENT' THEN 'gbif' WHEN '2-HIGH' THEN 'ecdysis' WHEN '3-MEDIUM' THEN 'scanbugs' WHEN '4-NOT SPECIFIED' THEN 'inat' END AS source_db,
         CASE WHEN o_orderkey % 2 = 0 THEN 'dorsal' ELSE 'ventral' END AS class_dv,
@@ -97,16 +118,19 @@ SQL = {
         CASE WHEN o_orderkey % 7 <> 0 THEN ((o_orderkey * 15485863 + o_custkey * 7907) % 360000)::DOUBLE / 1000.0::DOUBLE - 180 END AS lon,
         'Animalia' AS kingdom, 'Arthropoda' AS phylum, 'Insecta' AS class, 'adult' AS life_stage
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        JOIN part ON p_partkey = o_orderkey % {CATALOG_PARTS}""",
-    "occurrences": f"""SELECT o_orderkey AS img_id, p_name AS species, substr(n_name, 8, 30) AS countryCode, n_name AS level0Name, r_name AS continent,
+        JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
+    "occurrences": """SELECT o_orderkey AS img_id, p_name AS species, substr(n_name, 8, 30) AS countryCode, n_name AS level0Name, r_name AS continent,
         c_mktsegment AS stateProvince, c_name AS locality, r_name AS level1Name, c_name AS verbatimLocality
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        JOIN part ON p_partkey = o_orderkey % {CATALOG_PARTS}""",
+        JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
     "traits": """SELECT species, (['High','Medium','Low'])[size % 3 + 1] AS CanopyAffinity, (['High','Medium','Low'])[(size + 1) % 3 + 1] AS EdgeAffinity,
         (['High','Medium','Low'])[(size + 2) % 3 + 1] AS MoistureAffinity, (['High','Medium','Low'])[(size + 3) % 3 + 1] AS DisturbanceAffinity,
         CASE WHEN size % 5 = 0 THEN 'NA' ELSE size::VARCHAR END AS WS_L, CASE WHEN size % 4 = 0 THEN 'null' ELSE size::VARCHAR END AS FlightDuration,
         (size % 3)::VARCHAR AS Jan, CASE WHEN size % 2 = 0 THEN 'u' ELSE 'm' END AS Voltinism
         FROM (SELECT p_name AS species, min(p_size) AS size FROM part GROUP BY p_name)""",
+    "taxa": """SELECT p_partkey AS key, NULL AS kingdom, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS "order", p_type AS family, split_part(p_name, ' ', 1) AS genus, p_name AS species,
+        CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS "vernacularName", CASE WHEN p_partkey % 2 = 0 THEN p_type END AS "redlistCategory",
+        CASE WHEN p_partkey % 5 = 0 THEN 'SYNONYM' END AS "taxonomicStatus" FROM part""",
     "vectors": "SELECT vec_id AS img_id, embedding FROM embeddings",
     "vector_meta": """SELECT vec_id AS img_id, 'Genus_species' || label::VARCHAR AS species, 'gbif' AS source_db,
         CASE WHEN vec_id % 2 = 0 THEN 'dorsal' ELSE 'ventral' END AS class_dv FROM embeddings""",

@@ -1,8 +1,9 @@
 """Score fusion of ranking and filtering tools.
 
-A tool gives rows (imgId, species, score, tool). Ranking tools score, filtering tools gate: only
-species that every filtering tool returned pass. A missing or empty filter result closes the
-gate; a tool that failed is left out by the caller with ``failed=True``.
+A tool gives rows (imgId, species, score). Ranking tools score, filtering tools gate: only species that
+every filtering tool returned pass, among those that a ranking tool found. A filter without rows closes
+the gate; a tool that failed is left out by the caller with ``failed=True``. Where a tool ranks, filter
+rows carry no score and are no hits, but a filter with rows counts among the tools whose miss costs.
 """
 
 from __future__ import annotations
@@ -91,37 +92,36 @@ def gate(filters: list[Tool]) -> DataFrame | None:
     return _union(rows).groupBy("species").agg(F.countDistinct("tool").alias("n")).filter(F.col("n") == len(rows)).select("species")
 
 
+def _with_rows(tools: list[Tool], scope: DataFrame | None) -> DataFrame:
+    """One row: how many differently named tools gave a row (within ``scope`` where they filter)."""
+    kept = [t.rows if scope is None or t.kind == "ranking" else t.rows.join(scope, "species", "left_semi") for t in tools]
+    return _union([rows.limit(1).select(F.lit(t.name).alias("tool")) for t, rows in zip(tools, kept, strict=True)]).agg(F.countDistinct("tool").alias("active"))
+
+
 def fused_search(tools: list[Tool], hits: str = "rows", top: int = TOP) -> DataFrame | None:
-    """(species, imgId, score, tool_names), best first; None if nothing is left to rank.
+    """(species, imgId, score, tool_names), best first; None if no tool is left to give rows.
 
     ``hits="rows"`` sums the scores of all rows of a species; "binary" takes one row of each species
-    and tool.
+    and tool. A tool called twice is one tool, and all its rows are summed.
     """
     weights = tool_weights(tools)
-    ranking = [t for t in tools if t.kind == "ranking" and not t.failed]
-    filters = [t for t in tools if t.kind == "filter"]
-    passed = gate(filters)
-    if filters and passed is None:
+    ranks = any(t.kind == "ranking" for t in tools)
+    working = [t for t in tools if not t.failed]
+    filters = [t for t in working if t.kind == "filter"]
+    used = [t for t in working if t.kind == "ranking"] if ranks else filters
+    if not used or (not filters and any(t.kind == "filter" for t in tools)):
         return None
-    used = ranking or [t for t in filters if not t.failed]
-    marked = lambda t, is_ranking: t.rows.select("imgId", "species", (F.col("score") * weights[t.name]).alias("score"), F.lit(t.name).alias("tool"), F.lit(is_ranking).alias("ranks"))
-    rows = _union([marked(t, bool(ranking)) for t in used])
-    if rows is None:
-        return None
-    if ranking and filters:
-        rows = rows.unionByName(_union([marked(t, False) for t in filters if not t.failed]))
-        ranked = rows.filter("ranks").select("species").distinct()
-        rows = rows.join(ranked, "species", "left_semi")
+    rows = _union([t.rows.select("imgId", "species", (F.col("score") * weights[t.name]).alias("score"), F.lit(t.name).alias("tool")) for t in used])
+    scope = rows.select("species").distinct() if ranks else None
+    passed = gate(filters)
     if passed is not None:
         rows = rows.join(passed, "species", "left_semi")
     if hits == "binary":
-        rows = rows.groupBy("species", "tool", "ranks").agg(F.max(F.struct("score", "imgId")).alias("r")).select("species", "tool", "ranks", "r.score", "r.imgId")
-    active = len({t.name for t in tools if not t.failed})
+        rows = rows.groupBy("species", "tool").agg(F.min(F.struct((-F.col("score")).alias("down"), "imgId")).alias("r")).select("species", "tool", (-F.col("r.down")).alias("score"), "r.imgId")
     first: Column = F.struct(-F.col("score"), "tool", "imgId")
-    fused = rows.groupBy("species").agg(
-        F.sum("score").alias("total"), F.sort_array(F.collect_set("tool")).alias("tool_names"),
-        F.coalesce(F.min_by(F.when(F.col("ranks"), F.col("imgId")), F.when(F.col("ranks"), first)), F.min_by("imgId", first)).alias("imgId"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("total") - PENALTY * (active - F.size("tool_names"))))
+    fused = rows.groupBy("species").agg(F.sum("score").alias("total"), F.sort_array(F.collect_set("tool")).alias("tool_names"), F.min_by("imgId", first).alias("imgId"))
+    fused = fused.crossJoin(F.broadcast(_with_rows(working, scope)))  # one row
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("total") - PENALTY * (F.col("active") - F.size("tool_names"))))
     return fused.select("species", "imgId", exprs.rounded_score(score).alias("score"), "tool_names").orderBy(F.desc("score"), "species").limit(top)
 
 

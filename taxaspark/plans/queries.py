@@ -5,9 +5,7 @@ Every query reads the given tables whole, by way of the views in ``fixtures``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from taxaspark.functions import exprs, keys
@@ -15,31 +13,17 @@ from taxaspark.operators import catalog, corpora, fulltext, projection, taxonomy
 from taxaspark.plans import fixtures as fx
 from taxaspark.plans import fusion, search, similarity
 from taxaspark.plans.fixtures import sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return register
-
+from taxaspark.plans.registry import query
 
 KEY = "lower(replace(species, ' ', '_'))"
-BOX = search.point_box(-10.0, -161.0)
+_UP = "(50000 / 111100::DOUBLE)"
+_SIDE = f"({_UP} / greatest(cos(radians(-10.0::DOUBLE)), 0.01))"
 
 
 @query(sql(f"SELECT {KEY} AS species_key, min(species) AS species, bool_or(replace(family, '_', ' ') ILIKE '%ECON%') AS hit_family, count(*) AS n FROM catalog WHERE replace(family, '_', ' ') ILIKE '%ECON%' GROUP BY 1", "catalog"))
 def catalog_field(spark, d):
-    rows = fx.catalog(spark, d).filter(exprs.field_match("family", "ECON"))
-    groups = catalog.species_matches(rows, {"family": exprs.field_match("family", "ECON")})
-    return groups.join(rows.groupBy(keys.underscore_key("species").alias("species_key")).agg(F.count("*").alias("n")), "species_key")
+    hit = exprs.field_match("family", "ECON")
+    return catalog.species_matches(fx.catalog(spark, d).filter(hit), {"family": hit})
 
 
 _ALL = " OR ".join(f"coalesce(replace({c}, '_', ' ') ILIKE '%male%', false)" for c in ("class_dv", "family", "species", "sex", "life_stage", "source_db", "kingdom", "phylum", "class", '"order"', "common_name"))
@@ -60,7 +44,7 @@ def catalog_species_scores(spark, d):
     return search.search_catalog(fx.catalog(spark, d), "blue", "species").species.select("species", "score", "matched_fields")
 
 
-@query(sql(f"SELECT img_id, lat, lon, ['lat','lon'] AS matched_fields FROM catalog WHERE lat BETWEEN {BOX[0]!r} AND {BOX[1]!r} AND lon BETWEEN {BOX[2]!r} AND {BOX[3]!r} ORDER BY img_id LIMIT 50", "catalog"))
+@query(sql(f"SELECT img_id, lat, lon, ['lat','lon'] AS matched_fields FROM catalog WHERE lat BETWEEN -10.0 - {_UP} AND -10.0 + {_UP} AND lon BETWEEN -161.0 - {_SIDE} AND -161.0 + {_SIDE} ORDER BY img_id LIMIT 50", "catalog"))
 def catalog_box(spark, d):
     return search.search_catalog(fx.catalog(spark, d), "-10.0, -161.0", "coordinate").specimens.select("img_id", "lat", "lon", "matched_fields")
 
@@ -130,9 +114,19 @@ def batch_similarity(spark, d):
     return out.select("species", "side", "similar_species", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query()
+_ITEM = "SELECT img_id, embedding::DOUBLE[] AS e FROM vectors"
+#: Images near the mean vector of up to 100 images of a species, of one side or of both.
+_NEAR = """own{n} AS (SELECT img_id FROM (SELECT img_id, class_dv FROM vector_meta WHERE lower(replace(species, '_', '')) = 'genusspecies1' ORDER BY img_id LIMIT 100) WHERE {side}),
+ mean{n} AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(e[i]) AS x FROM (SELECT * FROM item JOIN own{n} USING (img_id)), range(1, 65) AS r(i) GROUP BY 1)),
+ near{n} AS (SELECT img_id, list_cosine_distance(e, c) AS dist FROM item, mean{n} ORDER BY 2, 1 LIMIT {k}),
+ best{n} AS (SELECT species, arg_min(img_id, (dist, img_id)) AS imgId, min(dist) AS distance FROM near{n} JOIN vector_meta USING (img_id) GROUP BY 1)"""
+_SIDES = ", ".join(_NEAR.format(n=n, side=f"lower(class_dv) = '{n}'", k=50) for n in ("dorsal", "ventral"))
+
+
+@query(sql(f"SELECT * FROM (SELECT 'dorsal' AS side, species, imgId, round(distance, 6) AS distance FROM bestdorsal UNION ALL SELECT 'ventral', species, imgId, round(distance, 6) FROM bestventral) WHERE species <> 'Genus_species1'", "vectors", "vector_meta").replace(" SELECT * FROM (SELECT 'dorsal'", f", item AS ({_ITEM}), {_SIDES} SELECT * FROM (SELECT 'dorsal'"))
 def similar_species_runtime(spark, d):
-    return similarity.similar_species(fx.vector_meta(spark, d), fx.vectors(spark, d), "genus species1", limit=50)
+    found = similarity.similar_species(fx.vector_meta(spark, d), fx.vectors(spark, d), "genus species1", limit=50)
+    return found.select("side", "species", "imgId", F.round("distance", 6).alias("distance"))
 
 
 _TOK = "list_filter(string_split_regex(translate(lower(coalesce({c}, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z]+'), lambda w: w <> '' AND NOT list_contains([{stop}], w))"
@@ -151,13 +145,44 @@ def bm25_scores(spark, d):
     return fulltext.bm25(fulltext.build_fts(docs, "doc_id", ["text"]), "Heat, rest ofan!").select("id", F.round("score", 4).alias("score"))
 
 
-@query()
+def _ranked(terms: str, unique: bool) -> str:
+    """Best 100 rows of documents for the terms, with species and matched fields."""
+    scores = _BM25.replace("'heat', 'with', 'rest', 'ofan'", terms).replace("SELECT id, round(", "SELECT id, (").replace(", 4) AS score", ") AS score")
+    one = "WHERE r = 1" if unique else ""
+    return f"""SELECT species, id, round(score, 4) AS score, CASE WHEN lower(text) LIKE '%heat%' OR lower(text) LIKE '%rest%' OR lower(text) LIKE '%ofan%' THEN ['text'] ELSE [] END AS matched_fields
+ FROM (SELECT * FROM (SELECT lower(replace(source, ' ', '_')) AS species, id, score, text, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS r
+  FROM ({scores}) JOIN documents ON doc_id = id) {one} ORDER BY score DESC, id LIMIT 100) WHERE length(trim(species)) > 0"""
+
+
+@query(_ranked("'heat', 'rest', 'ofan'", True))
 def bm25_unique_species(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.col("source").alias("species"))
     return fulltext.fts_search(docs, "doc_id", ["text"], "heat rest ofan")
 
 
-@query()
+@query(_ranked("'heat', 'rest', 'ofan'", False))
+def bm25_all_rows(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.col("source").alias("species"))
+    return fulltext.fts_search(docs, "doc_id", ["text"], "heat rest ofan", unique=False)
+
+
+_SCORED = """SELECT imgId, species, CASE WHEN max(distance) OVER () > min(distance) OVER () THEN 1 - (distance - min(distance) OVER ()) / (max(distance) OVER () - min(distance) OVER ()) ELSE 1 END AS score"""
+_TOOLS = f"""item AS ({_ITEM}), {_NEAR.format(n="", side="true", k=500)}, image AS ({_SCORED} FROM best),
+ hit AS (SELECT img_id, list_cosine_distance(e, (SELECT e FROM item WHERE img_id = 0)) AS dist FROM item ORDER BY 2, 1 LIMIT 5000),
+ bestText AS (SELECT species, arg_min(img_id, (dist, img_id)) AS imgId, min(dist) AS distance FROM hit JOIN vector_meta USING (img_id) GROUP BY 1),
+ text AS ({_SCORED} FROM (SELECT * FROM bestText ORDER BY distance, imgId LIMIT 500))"""
+_FUSED = """, r AS (SELECT *, 'text' AS tool FROM text UNION ALL SELECT *, 'image' FROM image),
+ k AS (SELECT * FROM r WHERE species IN (SELECT species FROM place)),
+ a AS (SELECT (SELECT count(DISTINCT tool) FROM r) + (SELECT count(*) > 0 FROM place WHERE species IN (SELECT species FROM r))::INTEGER AS n)
+ SELECT species, arg_min(imgId, (-score, tool, imgId)) AS imgId, round(greatest(0, least(1, sum(score / 2) - 0.15::DOUBLE * (any_value(a.n) - count(DISTINCT tool)))), 4)::DOUBLE AS score, list_sort(list(DISTINCT tool)) AS tool_names
+ FROM k, a GROUP BY species ORDER BY score DESC, species LIMIT 50"""
+
+
+def _with_tools(body: str) -> str:
+    return sql("", "vectors", "vector_meta") + f", {_TOOLS}{body}"
+
+
+@query(_with_tools(", place AS (SELECT DISTINCT species FROM vector_meta WHERE species < 'Genus_species7')" + _FUSED))
 def score_fusion(spark, d):
     meta, items = fx.vector_meta(spark, d), fx.vectors(spark, d)
     names = meta.select("species").distinct()
@@ -167,6 +192,18 @@ def score_fusion(spark, d):
     return fusion.fused_search([rank, alike, place])
 
 
+@query(_with_tools(" SELECT species, imgId, round(score, 6) AS score FROM text"))
+def text_vector_tool(spark, d):
+    found = fusion.search_by_text_vector(fx.vectors(spark, d), fx.vector_meta(spark, d), _first_vector(spark, d))
+    return found.select("species", "imgId", F.round("score", 6).alias("score"))
+
+
+@query(_with_tools(" SELECT species, imgId, round(score, 6) AS score FROM image"))
+def image_similarity_tool(spark, d):
+    found = fusion.search_by_image_similarity(fx.vectors(spark, d), fx.vector_meta(spark, d), "Genus_species1")
+    return found.select("species", "imgId", F.round("score", 6).alias("score"))
+
+
 @query(sql("SELECT img_id, x, y, cluster_label, lat, lon FROM (SELECT p.img_id, UMAP1 AS x, UMAP2 AS y, cluster_label, lat, lon, row_number() OVER (PARTITION BY species, cluster_label ORDER BY (lat IS NOT NULL AND lon IS NOT NULL) DESC, p.img_id) AS r FROM projection p JOIN projection_meta USING (img_id)) WHERE r <= 5", "projection", "projection_meta"))
 def cluster_sample(spark, d):
     return projection.cluster_sample(fx.projection(spark, d), fx.projection_meta(spark, d))
@@ -179,7 +216,9 @@ def tile_occupancy(spark, d):
     return projection.tile_counts(projection.tile_index(projection.normalize_xy(fx.points(spark, d)), max_zoom=6))
 
 
-@query()
+@query(sql("""SELECT z::INTEGER AS z, count(*) AS n_tiles, sum(n)::BIGINT AS n_points FROM (SELECT z, tx, ty, count(*) AS n FROM (SELECT z, tx, unnest(range(greatest(0, floor(y * s - 1.265625)::BIGINT + 1), least(s, floor(y * s + 0.265625)::BIGINT + 1))) AS ty
+  FROM (SELECT z, y, s, unnest(range(greatest(0, floor(x * s - 1.265625)::BIGINT + 1), least(s, floor(x * s + 0.265625)::BIGINT + 1))) AS tx
+  FROM (SELECT 0.05 + 0.9 * (UMAP1 - min(UMAP1) OVER ()) / (max(UMAP1) OVER () - min(UMAP1) OVER ()) AS x, 0.05 + 0.9 * (UMAP2 - min(UMAP2) OVER ()) / (max(UMAP2) OVER () - min(UMAP2) OVER ()) AS y FROM projection), (SELECT z, 1 << z AS s FROM range(0, 10) AS zs(z)))) GROUP BY ALL) GROUP BY z""", "projection"))
 def tile_zooms(spark, d):
     return projection.zoom_counts(projection.tile_layout(projection.tile_index(projection.normalize_xy(fx.points(spark, d)))))
 

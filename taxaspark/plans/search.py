@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,20 +21,6 @@ class SearchResult:
     total: DataFrame
 
 
-def parse_point(query: str) -> tuple[float, float] | None:
-    m = re.fullmatch(r"\s*([-+]?\d+(?:\.\d+)?)(?:\s*[,;]\s*|\s+)([-+]?\d+(?:\.\d+)?)\s*", query)
-    if not m:
-        return None
-    lat, lon = float(m[1]), float(m[2])
-    return (lat, lon) if abs(lat) <= 90 and abs(lon) <= 180 else None
-
-
-def point_box(lat: float, lon: float) -> tuple[float, float, float, float]:
-    up = exprs.BOX_METRES / exprs.DEGREE_METRES
-    side = up / max(math.cos(math.radians(lat)), 0.01)
-    return lat - up, lat + up, lon - side, lon + side
-
-
 def _species(rows: DataFrame, flags: dict[str, Column], fallback: str, query: str, limit: int) -> DataFrame:
     groups = catalog.species_matches(rows, flags).orderBy("species_key").limit(limit)
     named = groups.select(keys.binomial_key("species").alias("species"), "species_key", exprs.matched_fields(flags, fallback).alias("matched_fields"))
@@ -47,19 +31,21 @@ def _species(rows: DataFrame, flags: dict[str, Column], fallback: str, query: st
 def search_catalog(df: DataFrame, query: str, field: str = "all", page: int = 1, limit: int = 50) -> SearchResult:
     """Search one field, all fields ("all"), or around a point ("coordinate", "lat, lon").
 
-    The species list is limited before it is scored and doesn't follow the pages. A point that
-    can't be read gives empty results.
+    A field's case and spaces don't matter, an unknown one means all. The species list is limited
+    before it is scored and doesn't follow the pages. An empty query and a point that can't be read
+    give empty results.
     """
+    query, field = query.strip(), field.strip().lower().replace(" ", "_")
     if field == "coordinate":
-        point = parse_point(query)
-        hit = exprs.bbox(*point_box(*point)) if point else F.lit(False)
+        hit = exprs.near_point(query)
         flags, fallback, fields = {"lat": hit, "lon": hit}, "lat", F.array(F.lit("lat"), F.lit("lon"))
-    elif field == "all":
-        flags = catalog.match_flags(query, [f for f in exprs.SEARCH_FIELDS if f in df.columns])
-        hit, fallback, fields = catalog.any_flag(flags), "species", exprs.fields_containing(flags, query)
-    else:
+    elif field in exprs.SEARCH_FIELDS and field in df.columns:
         hit = F.coalesce(exprs.field_match(field, query), F.lit(False))
         flags, fallback, fields = {field: hit}, field, F.array(F.lit(field))
+    else:
+        flags = catalog.match_flags(query, [f for f in exprs.SEARCH_FIELDS if f in df.columns])
+        hit, fallback, fields = catalog.any_flag(flags), "species", exprs.fields_containing(flags, query)
+    hit = hit if query else F.lit(False)
     rows = df.filter(hit)
     return SearchResult(
         species=_species(rows, flags, fallback, query, limit),

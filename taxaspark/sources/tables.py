@@ -63,14 +63,21 @@ def of_dims(df: DataFrame, dims: dict[str, int]) -> DataFrame:
     return df
 
 
+def first_of_key(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key: of several the least by the other columns, in order."""
+    others = [c for c in df.columns if c != key]
+    kept = df.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")) if others else df.distinct()
+    return kept.select(*[F.col(key) if c == key else F.col(f"_row.`{c}`") for c in df.columns])
+
+
 def insert_if_absent(target: DataFrame, batch: DataFrame, key: str = "img_id") -> DataFrame:
     """Rows of the batch whose key is new, one of each: what is to be appended."""
-    return batch.dropDuplicates([key]).join(target.select(key), key, "left_anti").select(*target.columns)
+    return first_of_key(batch, key).join(target.select(key), key, "left_anti").select(*target.columns)
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str = "img_id") -> DataFrame:
     """The target with the batch's rows in place of those of the same key."""
-    batch = batch.dropDuplicates([key]).select(*target.columns)
+    batch = first_of_key(batch.select(*target.columns), key)
     return target.join(batch.select(key), key, "left_anti").select(*target.columns).unionByName(batch)
 
 
@@ -80,6 +87,20 @@ def replace_keys(target: DataFrame, batch: DataFrame, keys: DataFrame) -> DataFr
     return target.join(keys.distinct(), on, "left_anti").select(*target.columns).unionByName(batch.select(*target.columns))
 
 
+def store_keys(spark: SparkSession, table: str, batch: DataFrame, keys: DataFrame, force: bool = False) -> DataFrame:
+    """Store the batch in place of the rows of ``keys``; ``force`` drops what the table held before.
+
+    The new content is written beside the table and takes its name then, so that a run that fails
+    leaves the old one.
+    """
+    there = spark.catalog.tableExists(table) and not force
+    out = replace_keys(spark.table(table), batch, keys) if there else batch
+    out.write.mode("overwrite").saveAsTable(f"{table}__new")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {table}__new RENAME TO {table}")
+    return spark.table(table)
+
+
 def scan_images(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """(img_id, folder, path, size) of the image files below a folder; the first by path if limited."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size"))
@@ -109,8 +130,11 @@ def metadata_entries(files: DataFrame) -> DataFrame:
     return named.filter(F.instr("folder", "_") > 0)
 
 
-def write_metadata_json(files: DataFrame, path: str) -> None:
-    """One object a line, each a map from the id to its entry."""
+def write_metadata_json(files: DataFrame, path: str) -> tuple[int, int]:
+    """One object a line, each a map from the id to its entry. Gives the numbers of files that were
+    written and that were left out."""
     entries = metadata_entries(files)
     keyed = entries.select(F.to_json(F.create_map("id", F.struct("id", "folder", "filename", "scientificName"))).alias("value"))
     keyed.write.mode("overwrite").text(path)
+    written = files.sparkSession.read.text(path).count()
+    return written, files.count() - written

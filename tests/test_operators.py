@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,7 +182,7 @@ def test_fusion(spark):
     rank = tool(spark, "text", "ranking", [("1", "a", 1.0), ("2", "b", 0.5)])
     keep = tool(spark, "place", "filter", [("9", "b", 1.0), ("8", "c", 1.0)])
     out = fusion.fused_search([rank, keep]).collect()
-    assert [(r["species"], r["imgId"], r["score"]) for r in out] == [("b", "2", 0.5)]
+    assert [(r["species"], r["imgId"], r["score"]) for r in out] == [("b", "2", 0.35)]
     assert fusion.fused_search([rank, tool(spark, "none", "filter", [])]).count() == 0
     failed = fusion.Tool("broken", "filter", None, failed=True)
     assert fusion.fused_search([rank, failed]) is None
@@ -188,6 +191,57 @@ def test_fusion(spark):
     assert fusion.fused_search([twice]).first()["score"] == 1.0
 
 
+def test_fusion_penalties(spark):
+    score = lambda *tools: {r["species"]: (r["score"], r["tool_names"]) for r in fusion.fused_search(list(tools)).collect()}
+    place = tool(spark, "loc", "filter", [("9", "a", 1.0), ("8", "c", 1.0)])
+    assert score(tool(spark, "text", "ranking", [("1", "a", 0.9)]), place) == {"a": (0.75, ["text"])}
+    text = tool(spark, "text", "ranking", [("1", "a", 0.9)])
+    assert score(text, tool(spark, "image", "ranking", [])) == {"a": (0.45, ["text"])}
+    other = tool(spark, "image", "ranking", [("5", "b", 1.0), ("4", "a", 0.2)])
+    assert score(text, other, tool(spark, "loc", "filter", [("9", "a", 1.0)])) == {"a": (0.4, ["image", "text"])}
+    assert score(text, tool(spark, "loc", "filter", [("9", "b", 1.0)])) == {}
+    assert score(tool(spark, "text", "ranking", []), place) == {}
+    assert score(place, tool(spark, "traits", "filter", [("7", "c", 1.0)])) == {"c": (1.0, ["loc", "traits"])}
+    failed = fusion.Tool("text", "ranking", None, failed=True)
+    assert fusion.fused_search([failed, place]) is None and score(failed, other) == {"a": (0.1, ["image"]), "b": (0.5, ["image"])}
+
+
+def test_search_arguments(spark, meta):
+    total = lambda *a: search.search_catalog(meta, *a).total.first()["n"]
+    assert total("monarch", "Common Name") == 3 and total("monarch", "no such field") == 3 and total("monarch", "family") == 0
+    assert total("  ") == 0 and total("", "coordinate") == 0 and total("95.0, -118.2437", "coordinate") == 0
+    assert total("34.0522;-118.2437", "coordinate") == 3 and total("34.0522", "coordinate") == 0 and total("3d, 4e1", "coordinate") == 0
+
+
+def test_batch_top_k_equals_a_full_sort(spark):
+    r = random.Random(1)
+    rows = [(k, [float(r.randint(-2, 2)) for _ in range(3)]) for k in range(400)]
+    items = spark.createDataFrame(rows, "img_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(k, [float(r.randint(-2, 2)) + 0.5 for _ in range(3)]) for k in range(7)], "query long, centroid array<double>")
+    pairs = queries.crossJoin(items).select("query", F.col("img_id").alias("imgId"), F.round(vectors.cosine_distance(F.col("embedding"), F.col("centroid")), 9).alias("d"))
+    want = {}
+    for q, i, d in sorted((r["query"], r["imgId"], r["d"]) for r in pairs.collect()):
+        want.setdefault(q, []).append((d, i))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = {}
+        for row in vectors.batch_top_k(queries, items, 30).orderBy("query", "rank").collect():
+            got.setdefault(row["query"], []).append(row["imgId"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {q: [i for _, i in sorted(v)[:30]] for q, v in want.items()}
+
+
+def test_projection_keeps_the_largest_variances(spark):
+    r = np.random.default_rng(3)
+    data = r.normal(size=(60, 5)) * [9, 4, 1, 0.5, 0.1]
+    out = projection.project_2d(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "img_id long, embedding array<double>")).orderBy("img_id").collect()
+    own = data @ np.linalg.svd(data - data.mean(axis=0))[2][:2].T
+    for k, c in enumerate("xy"):
+        got = np.array([row[c] for row in out])
+        assert np.allclose(got, own[:, k]) or np.allclose(got, -own[:, k])
+
+
 def test_min_max_score(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 1.0), ("c", 0.25)], "species string, distance double")
     assert {r["species"]: r["score"] for r in fusion.min_max_score(df, 2.0).collect()} == {"a": 2.0, "b": 0.0, "c": 1.5}
@@ -200,6 +254,22 @@ def test_fulltext(spark):
     assert [(r["species"], r["id"]) for r in out.collect()] == [("x", 2)]
     assert fulltext.fts_search(df, "id", ["text"], "ete").first()["id"] == 3
     assert fulltext.bm25(fulltext.build_fts(df, "id", ["text"]), "nothing").count() == 0
+    assert [r["id"] for r in fulltext.fts_search(df, "id", ["text"], "red", unique=False).collect()] == [2, 1]
+    assert fulltext.search_occurrences(df, " ", "id").count() == 0
+
+
+def test_stored_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x", "the red foxes"), (2, "y", "fox"), (3, "z", "blue")], "id long, species string, text string")
+    stem = lambda w: F.regexp_replace(w, "(es|s)$", "")
+    index = fulltext.store_fts(fulltext.build_fts(df, "id", ["text"], stem), str(tmp_path / "i"))
+    assert sorted(r["id"] for r in fulltext.bm25(index, "Foxes").collect()) == [1, 2]
+    other = fulltext.build_fts(df.filter("id = 3"), "id", ["text"], stem)
+    assert fulltext.store_fts(other, str(tmp_path / "i")).lengths.count() == 3
+    assert fulltext.store_fts(other, str(tmp_path / "i"), overwrite=True).lengths.count() == 1
+    plain = fulltext.build_fts(df, "id", ["species", "text"])
+    scan = fulltext.scan_scores(df, "id", ["species", "text"], "red fox x")
+    both = [sorted((r["id"], round(r["score"], 9)) for r in f.collect()) for f in (fulltext.bm25(plain, "red fox x"), scan)]
+    assert both[0] == both[1]
 
 
 def test_tiles_match_the_inequality(spark):
@@ -218,6 +288,9 @@ def test_page_sections():
     page = "<h2>One</h2><p>a <b>b</b></p><table class='infobox'><tr><td>k</td></tr></table><h2>Two</h2>c<script>x</script>"
     assert corpora.split_page(page) == [("section", "One", "a b"), ("infobox", "One", "k"), ("section", "One", ""), ("section", "Two", "c")]
     assert corpora.split_page(None) == []
+    box = "<div class=navbox><table><caption>Taxon identifiers</caption><tr><th>W</th><td><a>Q1</a></td></tr><tr><th>W</th><td>Q1</td></tr><tr><th>G</th><td>7 <b>x</b></td></tr></table></div>"
+    page = f"<h2>One</h2>a<p class=noprint>n</p><div id=catlinks>c</div><i class=taxobox-edit-taxonomy>e</i>{box}<div class='navbox x'><table><tr><th>Links</th><td>b</td></tr></table></div>d"
+    assert corpora.split_page(page) == [("identifiers", "", "Q1 · 7 x"), ("section", "One", "a d")]
 
 
 def test_mentions(spark):
@@ -259,7 +332,14 @@ def test_tables(spark, tmp_path):
     assert ids(files) == ["x"]
     entry = tables.metadata_entries(files).first()
     assert (entry["id"], entry["scientificName"]) == ("danaus_plexippus_x", "Danaus plexippus")
-    tables.write_metadata_json(files, str(tmp_path / "j"))
+    (tmp_path / "i/plain").mkdir()
+    (tmp_path / "i/plain/z.png").write_bytes(b"1")
+    assert tables.write_metadata_json(tables.scan_images(spark, str(tmp_path / "i")), str(tmp_path / "j")) == (1, 1)
+    clash = spark.createDataFrame([("c", 5), ("c", 3)], "img_id string, v int")
+    assert sorted(map(tuple, tables.upsert(rows, clash).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    for force, want in ((False, [("a", 1), ("b", 2), ("c", 3), ("c", 5)]), (True, [("c", 3), ("c", 5)])):
+        tables.store_keys(spark, "own_k", rows, rows.select("img_id"), force=True)
+        assert sorted(map(tuple, tables.store_keys(spark, "own_k", clash, clash.select("img_id").distinct(), force).collect())) == want
     assert spark.read.text(str(tmp_path / "j")).first()["value"].startswith('{"danaus_plexippus_x":{')
 
 

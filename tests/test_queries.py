@@ -6,14 +6,14 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from taxaspark.plans import queries
+from taxaspark.plans import registry
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, small, name):
-    names, rows = oracle.spark_rows(queries.QUERIES[name](spark, small))
-    if name in queries.ORACLE_SQL:
-        assert (names, rows) == oracle.sql_rows(queries.ORACLE_SQL[name], small)
+    names, rows = oracle.spark_rows(registry.QUERIES[name](spark, small))
+    if name in registry.ORACLE_SQL:
+        assert (names, rows) == oracle.sql_rows(registry.ORACLE_SQL[name], small)
     assert len(names) == len(set(names))
 
 
