@@ -100,6 +100,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Rows of ``docs`` in which no window of an item occurs."""
-    hit = matches(docs, items, window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left_anti").select(*docs.columns)
+    """Rows of ``docs(doc_id, text, ...)`` in which no window of an item occurs, with all their columns,
+    whatever their names. Null and empty texts stay; so do repeated rows, as often as they come."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    hit = matches(docs.select("doc_id", "text"), items, window).select(F.struct("doc_id", "text_key").alias("hit")).distinct()
+    kept = rows.join(hit, F.col("row.doc_id").eqNullSafe(F.col("hit.doc_id")) & (text_key(F.col("row.text")) == F.col("hit.text_key")), "left_anti")
+    return kept.select("row.*")

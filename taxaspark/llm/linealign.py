@@ -1,13 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are found through the line's digest: each later holder is paired with
-the line's first holder, so a line held by n documents gives n - 1 pairs and none is left out,
-however frequent it is. The line digests of each pair are aligned with patience diff (lines unique
-in both, in longest increasing order, then what lies between them; a longest common subsequence
-where there are none), and the aligned common blocks are deleted from the later document, together
-with the other places of their lines in it. Then every document that still has a line is paired with the
-one before it that has it too, but for the line's first holder, and what is left of the two is
-aligned, until no pair aligns. As a line's first holder never loses it, one copy of every line stays.
+Overlapping documents are found through the digests of the lines they share, rare ones first: each
+later holder of a line that few documents hold is paired with the line's first holder. The line digests
+of each pair are aligned with patience diff (lines unique in both, in longest increasing order, then
+what lies between them; a longest common subsequence where there are none), and the aligned common
+blocks are deleted from the later document, together with the other places of their lines in it. Then
+the same is done with all lines that are left, however many documents hold them, for the pairs that
+were not aligned yet, so a line held by n documents gives at most n - 1 pairs. Then every document that still has a line is paired with the one
+before it that has it too, but for the line's first holder, and what is left of the two is aligned,
+until no pair aligns. As a line's first holder never loses it, one copy of every line stays.
+
+A document that many others are paired with is sent once for each of their parts, not for each of them.
 """
 
 from __future__ import annotations
@@ -145,56 +148,104 @@ def aligned_lines(a: list[int], b: list[int]) -> list[int]:
     return sorted({*out, *(y for y, x in enumerate(b) if x in again)})
 
 
+#: Holders of a line are packed into so many groups before they are shuffled by the line.
+LINE_BUCKETS = 512
+#: Documents that one copy of their partner serves.
+SERVED = 256
+#: Digests that a task turns into Python values at once, or one longer document.
+DIGESTS = 1 << 19
+DOC = "struct<doc_id:bigint,text_key:bigint>"
+
+
 def later_holders(lines: DataFrame) -> DataFrame:
-    """(doc, line, first): every later holder of a line of enough words, with the line's first holder.
+    """(doc, line, first, n): every later holder of a line of enough words, with the line's first holder
+    and the number of all.
 
-    ``lines(doc, digests)``, stored; doc is a struct that sorts by rank.
+    ``lines(doc, digests)``, stored; doc is a struct that sorts by rank. What is shuffled by the line is
+    at most ``LINE_BUCKETS`` rows for each, however many documents hold it.
     """
     spread = lines.select("doc", F.explode(F.filter(F.array_distinct("digests"), lambda x: F.pmod(x, F.lit(2)) == 1)).alias("line"))
-    first = spread.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first")
-    return spread.join(first, "line").filter("doc <> first").select("doc", "line", "first")
+    bucket = F.pmod(F.xxhash64("doc"), F.lit(LINE_BUCKETS))
+    packed = spread.groupBy("line", bucket.alias("bucket")).agg(F.collect_list("doc").alias("docs"))
+    first = packed.groupBy("line").agg(F.min(F.array_min("docs")).alias("first"), F.sum(F.size("docs")).alias("n")).filter("n > 1")
+    later = packed.join(first, "line").select("line", "first", "n", F.explode("docs").alias("doc"))
+    return later.filter("doc <> first").select("doc", "line", "first", "n")
+
+
+def rest_aligned(a: list[int], b: list[int], gone_b: list[int] | None) -> list[int]:
+    """As :func:`aligned_lines`, of what is left of ``b``."""
+    gone = set(gone_b or ())
+    at = [k for k in range(len(b)) if k not in gone]
+    return [at[k] for k in aligned_lines(a, [b[k] for k in at])]
 
 
-def rest_aligned(a: list[int], gone_a: list[int] | None, b: list[int], gone_b: list[int] | None) -> list[int]:
-    """As :func:`aligned_lines`, of what is left of both."""
-    gone_a, gone_b = set(gone_a or ()), set(gone_b or ())
-    at = [k for k in range(len(b)) if k not in gone_b]
-    return [at[k] for k in aligned_lines([x for k, x in enumerate(a) if k not in gone_a], [b[k] for k in at])]
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    k = 0
+    while k < len(ends):
+        end = max(k + 1, int(np.searchsorted(ends, DIGESTS + (ends[k - 1] if k else 0), "right")))
+        yield batch.slice(k, end - k)
+        k = end
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, gone_a, b, gone_b = (batch.column(c).to_pylist() for c in ("a", "gone_a", "b", "gone_b"))
-        gone = [rest_aligned(*x) for x in zip(a, gone_a, b, gone_b, strict=True)]
-        held = [list({y[k] for k in lost if y[k] & 1}) for y, lost in zip(b, gone, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("partner"), pa.array(gone, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))], ["doc", "partner", "lines", "held"])
+    """Rows (partner, part, doc, digests, gone), sorted: a partner's own comes before those it serves."""
+    a, own = [], None
+    for whole in batches:
+        for batch in _slices(whole, 3):
+            docs, partners, found, held = [], [], [], []
+            for partner, doc, digests, gone in zip(*(batch.column(c).to_pylist() for c in ("partner", "doc", "digests", "gone")), strict=True):
+                if doc is None:
+                    lost = set(gone or ())
+                    own, a = partner, [x for k, x in enumerate(digests) if k not in lost]
+                    continue
+                assert partner == own
+                lines = rest_aligned(a, digests, gone)
+                if lines:
+                    docs.append(doc)
+                    partners.append(partner)
+                    found.append(lines)
+                    held.append(list({digests[k] for k in lines if digests[k] & 1}))
+            pair = pa.struct([("doc_id", pa.int64()), ("text_key", pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pair), pa.array(partners, pair), pa.array(found, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))], ["doc", "partner", "lines", "held"])
 
 
 def _gone(pairs: DataFrame, lines: DataFrame, before: DataFrame | None) -> DataFrame:
-    """(doc, partner, lines, held): what each of ``pairs(doc, partner)`` aligns beyond ``before``."""
+    """(doc, partner, lines, held): what each of ``pairs(doc, partner)``, stored, aligns beyond ``before``."""
     if before is None:
         lines = lines.withColumn("gone", F.lit(None).cast("array<int>"))
     else:
         lines = lines.join(before.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone")), "doc", "left")
-    pairs = pairs.join(lines.select(F.col("doc").alias("partner"), F.col("digests").alias("a"), F.col("gone").alias("gone_a")), "partner")
-    pairs = pairs.join(lines.select("doc", F.col("digests").alias("b"), F.col("gone").alias("gone_b")), "doc")
-    kind = "struct<doc_id:bigint,text_key:bigint>"
-    found = pairs.select("doc", "partner", "a", "gone_a", "b", "gone_b").mapInArrow(_align, f"doc {kind}, partner {kind}, lines array<int>, held array<bigint>")
-    return cut(found.filter(F.size("lines") > 0))
+    served = pairs.groupBy("partner").agg(F.ceil(F.count("*") / SERVED).alias("parts"))
+    a = served.select("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(lines.withColumnRenamed("doc", "partner"), "partner")
+    b = pairs.join(served, "partner").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).join(lines, "doc")
+    both = a.select("partner", "part", F.lit(None).cast(DOC).alias("doc"), "digests", "gone").unionByName(b.select("partner", "part", "doc", "digests", "gone"))
+    both = both.repartition("partner", "part").sortWithinPartitions("partner", "part", F.asc_nulls_first("doc"))
+    return cut(both.mapInArrow(_align, f"doc {DOC}, partner {DOC}, lines array<int>, held array<bigint>"))
 
 
-def aligned(docs: DataFrame, min_words: int = 3) -> DataFrame:
+def _left(holders: DataFrame, new: DataFrame) -> DataFrame:
+    """``holders(doc, line, ...)`` without the lines that ``new`` takes from them."""
+    return cut(holders.join(new.select("doc", F.explode("held").alias("line")).distinct(), ["doc", "line"], "left_anti"))
+
+
+def aligned(docs: DataFrame, min_words: int = 3, rare: int = 32) -> DataFrame:
     """(doc_id, text_key, partners, lines): what the later documents lose; lines counts from 0."""
     doc = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
     lines = cut(docs.filter("doc_id is not null").select(doc.alias("doc"), line_digests(F.col("text"), min_words).alias("digests")).distinct())
-    later = cut(later_holders(lines))
-    new = gone = _gone(later.select("doc", F.col("first").alias("partner")).distinct(), lines, None)
-    left = later.select("doc", "line")
-    while not new.isEmpty():
-        left = cut(left.join(new.select("doc", F.explode("held").alias("line")).distinct(), ["doc", "line"], "left_anti"))
+    left = cut(later_holders(lines))
+    with_first = lambda df: df.select("doc", F.col("first").alias("partner")).distinct()
+    pairs = cut(with_first(left.filter(F.col("n") <= rare)))
+    gone = _gone(pairs, lines, None)
+    left = _left(left, gone)
+    new = _gone(cut(with_first(left).join(pairs, ["doc", "partner"], "left_anti")), lines, gone)
+    left, gone = _left(left, new), gone.unionByName(new)
+    while not left.isEmpty():
         pairs = left.withColumn("partner", F.lag("doc").over(Window.partitionBy("line").orderBy("doc")))
-        new = _gone(pairs.filter("partner is not null").select("doc", "partner").distinct(), lines, gone)
-        gone = gone.unionByName(new)
+        new = _gone(cut(pairs.filter("partner is not null").select("doc", "partner").distinct()), lines, gone)
+        if new.isEmpty():
+            break
+        left, gone = _left(left, new), gone.unionByName(new)
     return gone.groupBy("doc").agg(F.size(F.collect_set("partner")).cast("long").alias("partners"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")).select("doc.*", "partners", "lines")
 
 
@@ -211,8 +262,19 @@ def without_lines(text: Column, lines: Column) -> Column:
     return F.arrow_udf(of, "string")(text, lines)
 
 
+def _marked(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, partners, removed_lines, deduped) of every row of ``docs``, whatever its columns are called."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    gone = aligned(docs.select("doc_id", "text"), min_words)
+    gone = gone.select(F.struct(*gone.columns).alias("gone"))
+    df = rows.join(gone, (F.col("row.doc_id") == F.col("gone.doc_id")) & (text_key(F.col("row.text")) == F.col("gone.text_key")), "left")
+    df = df.select("row", F.coalesce("gone.partners", F.lit(0).cast("long")).alias("partners"), F.coalesce("gone.lines", F.array().cast("array<int>")).alias("removed_lines"))
+    return df.withColumn("deduped", without_lines(F.col("row.text"), F.col("removed_lines")))
+
+
 def line_dedup(docs: DataFrame, min_words: int = 3) -> DataFrame:
-    """Rows of ``docs(doc_id, text, ...)`` with partners, removed_lines and deduped added.
+    """Rows of ``docs(doc_id, text, ...)`` with partners, removed_lines and deduped added, in place of
+    columns of these names.
 
     Documents rank by doc_id, then by their text's digest. removed_lines: positions (from 0) of the
     lines deleted from the row's text; partners: with how many earlier documents blocks aligned;
@@ -220,18 +282,16 @@ def line_dedup(docs: DataFrame, min_words: int = 3) -> DataFrame:
     or more. Rows with one doc_id and text are one document, returned as often as they come; rows
     with a null doc_id, a null or an empty text stay as they are.
     """
-    clash = [c for c in docs.columns if c.lower() in ("partners", "removed_lines", "deduped")]
-    docs = docs.drop(*clash)
-    gone = aligned(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("partners").alias("_partners"), F.col("lines").alias("_lines"))
-    df = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left")
-    df = df.select(*docs.columns, F.coalesce("_partners", F.lit(0).cast("long")).alias("partners"), F.coalesce("_lines", F.array().cast("array<int>")).alias("removed_lines"))
-    return df.withColumn("deduped", without_lines(F.col("text"), F.col("removed_lines")))
+    added = ("partners", "removed_lines", "deduped")
+    return _marked(docs, min_words).select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added], *added)
 
 
 def dedup_documents(docs: DataFrame, min_words: int = 3) -> DataFrame:
-    """Rows of ``docs`` with their text deduped; those that lose all their words go."""
-    own = {c: F.col(c) for c in docs.columns} | {"text": F.col("deduped")}
+    """Rows of ``docs(doc_id, text, ...)`` with their text deduped and n_chars, if there is one, made to
+    fit; those that lose all their words go. Other columns come back as they are, whatever their names.
+    Nulls, empty texts and repeated rows: as :func:`line_dedup` has them."""
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("deduped")}
     if "n_chars" in own:
         own["n_chars"] = F.length("deduped").cast("long")
     left = (F.size("removed_lines") == 0) | F.col("deduped").rlike(r"[^\x20\x09-\x0D]")
-    return line_dedup(docs, min_words).filter(left).select(*[v.alias(k) for k, v in own.items()])
+    return _marked(docs, min_words).filter(left).select(*[v.alias(k) for k, v in own.items()])

@@ -182,12 +182,19 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2, shingle: int = 3, se
 
 
 def keep_first_of_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is its component's smallest; of rows that repeat one, one stays.
+    """Rows of ``docs(doc_id, text, ...)`` whose doc_id is its component's smallest, with all their columns.
 
     Components are those of :func:`shingles.near_copies`: a fingerprint's distance says too little
-    about a similarity of 0.8. Rows with a null doc_id stay, as they can't be told apart.
+    about a similarity of 0.8. Of rows that repeat a doc_id one stays: the one with the least text digest
+    and, of these, the first as JSON. Null and empty texts are alike, so one of these stays. Rows with a
+    null doc_id stay, as they can't be told apart.
     """
     found = near_copies(docs, shingle, percent)
     lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    again = cut(again.join(lost, "doc_id", "left_anti"))
+    kept = docs.join(lost.unionByName(again), "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.join(again, "doc_id", "left_semi").select("doc_id", row.alias("row"))
+    first = rows.groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.to_json("row"))).alias("row"))
+    return kept.unionByName(first.select("row.*"))

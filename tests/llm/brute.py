@@ -127,3 +127,101 @@ def shared_lines(rows, min_words=3):
         for x in lines:
             first.setdefault(x, doc)
     return out
+
+
+def unique_anchors(a, b):
+    """Longest run of the items that both hold once, by a quadratic table; of equal ones the latest."""
+    both = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    length, before = [], []
+    for k, (_, y) in enumerate(both):
+        best = max([length[j] for j in range(k) if both[j][1] < y], default=0)
+        length.append(best + 1)
+        before.append(max((j for j in range(k) if both[j][1] < y and length[j] == best), default=-1))
+    k = max(range(len(both)), key=lambda j: (length[j], j), default=-1)
+    out = []
+    while k >= 0:
+        out.append(both[k])
+        k = before[k]
+    return out[::-1]
+
+
+def subsequence(a, b):
+    """A longest common subsequence, by the full table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def patience(a, b):
+    """Matched places of two lists: ends first, then around the items that both hold once."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return [*patience(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    anchors = unique_anchors(a, b)
+    if not anchors:
+        return subsequence(a, b)
+    out, i, j = [], 0, 0
+    for x, y in [*anchors, (len(a), len(b))]:
+        out += [(i + p, j + q) for p, q in patience(a[i:x], b[j:y])] + [(x, y)]
+        i, j = x + 1, y + 1
+    return out[:-1]
+
+
+def line_alignment(rows, min_words=3, rare=32):
+    """rows: (doc_id, text), distinct ids. To {doc_id: places of the lines it loses}."""
+    lines = {i: [x.strip(" ") for x in (t or "").split("\n")] for i, t in rows}
+    full = lambda x: len(x.split()) >= min_words
+    holders = defaultdict(list)
+    for i in sorted(lines):
+        for x in dict.fromkeys(lines[i]):
+            if full(x):
+                holders[x].append(i)
+    left = {(i, x) for x, h in holders.items() for i in h[1:]}
+    gone = {i: set() for i in lines}
+
+    def align(pairs):
+        found = {}
+        for first, later in pairs:
+            a = [x for k, x in enumerate(lines[first]) if k not in gone[first]]
+            at = [k for k in range(len(lines[later])) if k not in gone[later]]
+            b = [lines[later][k] for k in at]
+            blocks, lost = [], set()
+            for i, j in patience(a, b):
+                if blocks and blocks[-1][-1] == (i - 1, j - 1):
+                    blocks[-1].append((i, j))
+                else:
+                    blocks.append([(i, j)])
+            for block in blocks:
+                if any(full(b[j]) for _, j in block):
+                    lost |= {j for _, j in block}
+            again = {b[j] for j in lost if full(b[j])}
+            lost |= {j for j, x in enumerate(b) if x in again}
+            found.setdefault(later, set()).update(at[j] for j in lost)
+        for i, places in found.items():
+            gone[i] |= places
+            left.difference_update((i, lines[i][k]) for k in places)
+        return any(found.values())
+
+    done = {(holders[x][0], i) for i, x in left if len(holders[x]) <= rare}
+    align(done)
+    align({(holders[x][0], i) for i, x in left} - done)
+    while True:
+        by = defaultdict(list)
+        for i, x in sorted(left):
+            by[x].append(i)
+        if not align({pair for h in by.values() for pair in zip(h, h[1:])}):
+            return {i: sorted(v) for i, v in gone.items()}

@@ -200,6 +200,7 @@ def test_patience(seed):
     for _ in range(200):
         a, b = ([r.randint(0, 12) for _ in range(r.randint(0, 15))] for _ in range(2))
         found = linealign.patience(a, b)
+        assert found == brute.patience(a, b)
         assert all(a[i] == b[j] for i, j in found)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
         assert linealign.patience(a, a) == [(k, k) for k in range(len(a))]
@@ -228,25 +229,10 @@ def test_lines_that_repeat_are_aligned():
     assert linealign.aligned_lines([p, 1, q], [r, 3, s]) == []
 
 
-def brute_alignment(rows, min_words=3):
-    """Lines that later documents lose, by aligning every one with each line's first holder."""
-    lines = {i: [x.strip(" ") for x in (t or "").split("\n")] for i, t in rows}
-    first = {}
-    for i in sorted(lines):
-        for x in lines[i]:
-            first.setdefault(x, i)
-    coded = {i: [hash(x) << 1 | (len(x.split()) >= min_words) for x in v] for i, v in lines.items()}
-    out = {}
-    for i, v in lines.items():
-        partners = {first[x] for x in v if len(x.split()) >= min_words} - {i}
-        out[i] = sorted({k for p in partners for k in linealign.aligned_lines(coded[p], coded[i])})
-    return out
-
-
 def test_line_dedup(spark, small, awkward, empty):
     for df in (awkward.filter("doc_id is not null").dropDuplicates(["doc_id"]), spark.read.parquet(f"{small}/documents.parquet")):
         got = {r["doc_id"]: r["removed_lines"] for r in linealign.line_dedup(df).collect()}
-        assert got == brute_alignment(pairs(df))
+        assert got == brute.line_alignment(pairs(df))
         text = dict(pairs(df))
         held = brute.shared_lines(pairs(df), 1)
         assert all(not (text[i] or "").split("\n")[k].strip() or k in held[i] for i, v in got.items() for k in v)
@@ -254,6 +240,18 @@ def test_line_dedup(spark, small, awkward, empty):
     assert linealign.dedup_documents(empty).count() == 0
 
 
+def test_common_lines_and_parts(spark, monkeypatch):
+    """More holders than a line may have to be rare, and partners that serve many in parts."""
+    monkeypatch.setattr(linealign, "SERVED", 4)
+    monkeypatch.setattr(linealign, "DIGESTS", 50)
+    r = random.Random(2)
+    rows = [(k, "\n".join(f"common line number {r.randint(0, 9)}" if r.random() < 0.6 else f"own words of {k} {j}" for j in range(r.randint(1, 12)))) for k in range(90)]
+    got = {x["doc_id"]: x["removed_lines"] for x in linealign.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.line_alignment(rows)
+    kept = [x for i, t in rows for k, x in enumerate(t.split("\n")) if k not in got[i]]
+    assert {x for x in kept if x.startswith("common")} == {x for _, t in rows for x in t.split("\n") if x.startswith("common")}
+
+
 def test_copies_of_a_document_in_another_order(spark):
     x, y, z = "a line of words", "another line of words", "one more line of words"
     rows = [(1, f"{y}\n{x}"), (2, f"{x}\n{y}"), (3, f"{x}\n{y}"), (4, f"own words of four\n{x}\n{y}"), (5, f"{z}"), (6, f"{z}\n{z}")]
@@ -430,7 +428,7 @@ def test_pipeline(spark, small, tmp_path):
     before, after = seen["quality_rules"]
     assert set(after) == {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
     before, after = seen["line_dedup"]
-    gone = brute_alignment(before.items())
+    gone = brute.line_alignment(before.items())
     left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone[i])) for i, t in before.items()}
     assert after == {i: t for i, t in left.items() if not gone[i] or t.split()}
     before, after = seen["simhash_near_dedup"]
