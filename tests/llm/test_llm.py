@@ -385,13 +385,49 @@ def test_long_runs_take_linear_time():
 # toxicity
 
 
-def test_toxicity_held_out(spark, small):
+@pytest.fixture(scope="module")
+def labelled(spark, small):
+    d = small.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    return docs.select("text", "toxic", queries.held_out(F.col("doc_id")).alias("held_out")).orderBy("doc_id").collect()
+
+
+def test_toxicity_held_out(spark, small, labelled):
     d = small.replace("sf0.001", "sf0.01")
-    rows = queries.op1_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
+    rows = queries.op1_toxicity(spark, d).collect()
     assert all((r["score"] >= 0.5) == (r["predicted"] == 1) and 0 <= r["score"] <= 1 for r in rows)
-    clean = [r for r in rows if not r["toxic"]]
-    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
-    assert sum(r["predicted"] == r["toxic"] for r in rows) >= 0.9 * len(rows)
+    known = [r for r in labelled if not r["held_out"]]
+    scorer = toxicity.train([r["text"] for r in known], [r["toxic"] for r in known])
+    rest = [(r["toxic"], scorer.score(r["text"]) >= 0.5) for r in labelled if r["held_out"]]
+    assert sum(p for y, p in rest if y) >= 0.9 * sum(y for y, _ in rest)
+    assert sum(p for y, p in rest if not y) <= 0.01 * sum(not y for y, _ in rest)
+
+
+def test_label_model_restores_wrong_labels(labelled, monkeypatch):
+    """A tenth of the labels turned round: most come back, and few others change."""
+    r = random.Random(1)
+    known = [x for x in labelled if not x["held_out"]]
+    flip = np.array([r.random() < 0.1 for _ in known])
+    given = np.array([x["toxic"] for x in known])
+    kept = {}
+    fit = toxicity.LabelModel.fit
+
+    def watched(self, votes, gold):
+        kept["q"] = fit(self, votes, gold).posterior(votes, gold)
+        return self
+
+    monkeypatch.setattr(toxicity.LabelModel, "fit", watched)
+    scorer = toxicity.train([x["text"] for x in known], list(given ^ flip))
+    right = (kept["q"] > 0.5) == given
+    assert right[flip].mean() > 0.7 and right[~flip].mean() > 0.98
+    rest = [(x["toxic"], scorer.score(x["text"]) >= 0.5) for x in labelled if x["held_out"]]
+    assert sum(p for y, p in rest if y) >= 0.75 * sum(y for y, _ in rest)
+    assert sum(p for y, p in rest if not y) <= 0.02 * sum(not y for y, _ in rest)
+
+
+@pytest.mark.parametrize("text", ["you are an idiot", "Du Versager!", "tu es un imbécile", "eres un inútil", "halt die Klappe", "je vais te tuer", "te voy a matar", "Ich hasse dich"])
+def test_patterns_of_four_languages(text):
+    assert any(p.search(text) for _, p in toxicity.PATTERNS)
 
 
 def test_toxicity_odd_rows(spark, awkward, empty):
@@ -407,7 +443,7 @@ def test_correlated_voters_share_a_vote():
     y = (r.random(2000) < 0.3).astype(float)
     own = np.where(y > 0, r.random(2000) < 0.7, r.random(2000) < 0.1).astype(float)
     votes = np.stack([own, own, own, np.where(y > 0, r.random(2000) < 0.7, r.random(2000) < 0.1).astype(float)], axis=1)
-    model = toxicity.LabelModel().fit(votes, y, 0.9)
+    model = toxicity.LabelModel().fit(votes, y)
     assert model.share[:3] == pytest.approx([1 / 3] * 3) and model.share[3] == 1
     assert (model.rates[1] > model.rates[0]).all()
 
