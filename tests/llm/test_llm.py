@@ -364,19 +364,102 @@ def test_base_spans(seed):
         assert pii.base_spans(t) == want
 
 
-def test_personal_data(spark, awkward, empty):
-    r = random.Random(3)
-    mail = [f"Words before it joe{k}@mail{k % 7}.example.com and after {k}, see page {k * 3}." for k in range(200)]
-    detector = pii.train([*mail, *(f"Call +1 (415) 555-{r.randint(1000, 9999)} now, or in {1900 + k}-01-02" for k in range(200))])
+@pytest.fixture(scope="module")
+def detector(spark, small):
+    return pii.fit(spark.read.parquet(small.replace("sf0.001", "sf0.1") + "/documents.parquet"))
+
+
+def card(r, sep):
+    while True:
+        d = "".join(r.choice("0123456789") for _ in range(16))
+        if pii.luhn(d):
+            return sep.join(d[k : k + 4] for k in range(0, 16, 4))
+
+
+#: Forms that the trees weren't trained on.
+UNSEEN = {
+    "card": [lambda r: card(r, "_"), lambda r: card(r, "- "), lambda r: card(r, ". ")],
+    "phone": [lambda r: f"({r.randint(200, 999)}) {r.randint(200, 999)} {r.randint(1000, 9999)}", lambda r: f"{r.randint(200, 999)} {r.randint(200, 999)}-{r.randint(1000, 9999)}", lambda r: f"({r.randint(200, 999)}) {r.randint(200, 999)}.{r.randint(1000, 9999)}"],
+    "email": [lambda r: f"joe{r.randint(0, 99)}<at>mail.example.com", lambda r: f"ann.lee(at) mail{r.randint(0, 9)} (dot) org", lambda r: f"a_b at mail{r.randint(0, 9)}.example.net"],
+    "ip": [lambda r: "(dot)".join(str(r.randint(1, 255)) for _ in range(4)), lambda r: " dot ".join(str(r.randint(1, 255)) for _ in range(4))],
+}
+
+
+@pytest.mark.parametrize("cue", [False, True])
+@pytest.mark.parametrize("kind", sorted(UNSEEN))
+def test_recall_of_other_forms(spark, small, detector, kind, cue):
+    r = random.Random(f"{kind}{cue}")
+    clean = [t for _, t in pairs(spark.read.parquet(f"{small}/documents.parquet")) if t and not set("0123456789@") & set(t)]
+    k, hit, n = pii.KINDS.index(kind), 0, 0
+    for _ in range(80):
+        for form in UNSEEN[kind]:
+            t, new = r.choice(clean), form(r)
+            at = t.find(" ", r.randrange(len(t))) + 1
+            before = t[:at] + pii.CUE_WORDS[k] * cue
+            full = f"{before}{new} {t[at:]}"
+            base = pii.base_spans(full)
+            hit += any(c == k and a <= len(before) + 1 and b >= len(before) + len(new) - 1 for c, a, b in base + detector.added(full, base))
+            n += 1
+    assert hit >= 0.9 * n
+
+
+def test_plain_numbers_and_clean_texts_stay(spark, small, detector):
+    r = random.Random(4)
+    texts = [t for _, t in pairs(spark.read.parquet(f"{small}/documents.parquet")) if t]
+    wrong = 0
+    for _ in range(500):
+        t = r.choice(texts)
+        at = r.randrange(len(t) + 1)
+        new = pii.plain_numbers(r)
+        full = f"{t[:at]} {new} {t[at:]}"
+        wrong += any(a < at + 1 + len(new) and at + 1 <= b and not pii.luhn(pii._digits(full[a:b])) for _, a, b in detector.added(full, pii.base_spans(full)))
+    assert wrong <= 10
+    added = [c for t in texts for c in detector.added(t, pii.base_spans(t))]
+    assert len(added) <= 0.05 * sum(len(pii.base_spans(t)) for t in texts)
+
+
+def test_thresholds():
+    counts = {(0, 1, 150): 98, (0, 0, 150): 2, (0, 0, 140): 5, (0, 1, 120): 400, (1, 0, 180): 9}
+    assert pii.thresholds(counts) == [pytest.approx(2.0), np.inf, np.inf, np.inf]
+    assert pii.thresholds({(0, 1, 150): 97, (0, 0, 150): 3})[0] == np.inf
+
+
+def test_taken_spans():
+    r = random.Random(0)
+    for _ in range(300):
+        spans = [(0, a, a + r.randint(1, 6)) for a in (r.randint(0, 60) for _ in range(r.randint(0, 5)))]
+        taken, plain = pii._Taken(spans), [(a, b) for _, a, b in spans]
+        for _ in range(20):
+            a = r.randint(0, 60)
+            b = a + r.randint(1, 6)
+            assert taken.clear(a, b) == all(b <= x or y <= a for x, y in plain)
+            if taken.clear(a, b):
+                taken.take(a, b)
+                plain.append((a, b))
+
+
+def test_personal_data(spark, awkward, empty, detector):
     text = "x joe@a.example, call (415) 555-2671 or see 2020-01-02"
     df = spark.createDataFrame([(1, text), (2, None), (2, None)], "doc_id long, text string")
     out = pii.personal_data(df, detector).withColumn("w", pii.written(F.col("spans"))).withColumn("r", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
-    assert out[0]["w"].startswith("email:2:15") and "2020-01-02" in out[0]["r"] and "[EMAIL]" in out[0]["r"]
+    assert out[0]["w"] == "email:2:15,phone:22:36" and out[0]["r"] == "x [EMAIL], call [PHONE] or see 2020-01-02"
     assert out[1]["w"] == "" and len(out) == 3
     assert pii.personal_data(awkward).count() == awkward.count()
     assert pii.personal_data(empty).count() == 0
 
 
+def test_many_spans_take_linear_time(detector):
+    import time
+
+    took = []
+    for n in (2000, 4000):
+        t = " ".join(f"a{k}(at)b.example.com" for k in range(n))
+        began = time.perf_counter()
+        assert len(detector.added(t, pii.base_spans(t))) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0] + 0.5
+
+
 def test_long_runs_take_linear_time():
     for t in ("1" * 300_000, "a" * 300_000 + "@", "+" * 100_000, "1." * 100_000, "a@" * 100_000):
         pii.base_spans(t)
