@@ -14,6 +14,7 @@ from taxaspark.llm.common import words
 
 #: The symbols counted, and phrases of boilerplate and navigation lines.
 SYMBOLS = r"[#*$%&|<>]"
+MARKS = "#*$%&|<>"
 BOILERPLATE = (
     "(?i)lorem ipsum|enable javascript|javascript is (disabled|required)|cookie (policy|settings|consent)|"
     "we use cookies|privacy policy|terms of (use|service)|all rights reserved|licensed under|"
@@ -36,27 +37,22 @@ def _mentions(line: Column) -> Column:
     return 2 * F.length(F.array_join(held, "")) <= F.length(line)
 
 
-def _line_passes(max_symbol_share: float, by_share: bool) -> callable:
-    def passes(line: Column) -> Column:
-        chars = F.length(line)
-        symbols = F.regexp_count(line, F.lit(SYMBOLS))
-        shouts = chars - F.length(F.replace(line, F.lit("!!"), F.lit("")))
-        return (
-            (line.rlike(TERMINAL) | line.rlike(SENTENCE))
-            & (symbols <= chars * max_symbol_share)
-            & (shouts <= F.greatest(F.lit(4), chars * max_symbol_share))
-            & ((~line.rlike(BOILERPLATE) | _mentions(line)) if by_share else ~line.rlike(BOILERPLATE))
-            & ~F.lower(line).rlike(NAVIGATION)
-        )
-
-    return passes
-
+def _passes(line: Column, boilerplate: Column, max_symbol_share: float, by_share: bool) -> Column:
+    """``boilerplate``: whether the line holds a phrase of it. Cheap conditions come first."""
+    chars = F.length(line)
+    symbols = chars - F.length(F.translate(line, MARKS, ""))
+    shouts = chars - F.length(F.replace(line, F.lit("!!"), F.lit("")))
+    return (
+        (symbols <= chars * max_symbol_share)
+        & (shouts <= F.greatest(F.lit(4), chars * max_symbol_share))
+        & ((~boilerplate | _mentions(line)) if by_share else ~boilerplate)
+        & (line.rlike(TERMINAL) | line.rlike(SENTENCE))
+        & ~F.lower(line).rlike(NAVIGATION)
+    )
 
-def repeated_window_words(hashes: Column, at: Column, size: int) -> Column:
-    """Number of words in windows found twice or more.
 
-    ``hashes``: the windows' digests by position. ``at``: (digest, position) sorted.
-    """
+def repeated_window_words(at: Column, size: int) -> Column:
+    """Number of words in windows found twice or more. ``at``: (digest, position) of the windows, sorted."""
     twin = lambda s, i: (s["h"] == F.get(at, i - 1)["h"]) | (s["h"] == F.get(at, i + 1)["h"])
     found = F.sort_array(F.transform(F.filter(at, lambda s, i: F.coalesce(twin(s, i), F.lit(False))), lambda s: s["i"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-(1 << 30)).alias("last"))
@@ -79,24 +75,27 @@ def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_pe
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text.alias("text")).withColumn("words", words(F.col("text"))).withColumn("lines", F.split("text", "\n", -1))
     n = F.size("words")
-    df = df.withColumn("full", F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    full = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    seen = F.transform("lines", lambda x: F.struct(x.alias("x"), full(x).alias("full"), (full(x) & x.rlike(BOILERPLATE)).alias("boiler")))
+    judge = lambda s: F.when(s["full"], _passes(s["x"], s["boiler"], max_symbol_share, by_share)).otherwise(True)
+    df = df.withColumn("seen", seen).withColumn("judged", F.transform("seen", lambda s: F.struct(s["x"].alias("x"), s["full"].alias("full"), s["boiler"].alias("boiler"), judge(s).alias("ok"))))
+    text_of = lambda s: s["x"]
+    df = df.withColumn("full", F.transform(F.filter("judged", lambda s: s["full"]), text_of))
     digest = lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(window)])
     df = df.withColumn("windows", F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), digest)).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
     sorted_windows = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumn("sorted", F.when(F.col("repeats"), sorted_windows))
-    passes = _line_passes(max_symbol_share, by_share)
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    df = df.withColumn("passed", F.filter("lines", lambda x: blank(x) | passes(x)))
-    df = df.withColumn("failed", F.filter("full", lambda x: ~passes(x) if by_share else ~passes(x) & ~x.rlike(BOILERPLATE)))
+    df = df.withColumn("passed", F.transform(F.filter("judged", lambda s: s["ok"]), text_of))
+    df = df.withColumn("failed", F.transform(F.filter("judged", lambda s: ~s["ok"] if by_share else ~s["ok"] & ~s["boiler"]), text_of))
     bare = lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", ""))
     df = df.select(
         "doc_id",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", MARKS, ""))).cast("long").alias("n_symbols"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("repeats"), repeated_window_words(F.col("windows"), F.col("sorted"), window)), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(F.when(F.col("repeats"), repeated_window_words(F.col("sorted"), window)), F.lit(0)).cast("long").alias("n_repeat_words"),
         bare(F.array_join("failed", "")).alias("lost"),
         (F.size("lines") - F.size("passed")).cast("long").alias("n_lines_removed"),
         F.array_join("passed", "\n").alias("cleaned"),
@@ -112,7 +111,9 @@ def quality(docs: DataFrame, window: int = 5, min_words: int = 10, max_repeat_pe
 
 def clean_documents(docs: DataFrame, **rules) -> DataFrame:
     """Rows of ``docs(doc_id, text, ...)`` that are kept, their text without the failing lines and
-    n_chars, if there is one, made to fit. Boilerplate is judged by its share and counts as loss."""
+    n_chars, if there is one, made to fit. Boilerplate is judged by its share and counts as loss. Other
+    columns come back as they are, whatever their names; null and empty texts go, repeated rows are
+    judged each by itself."""
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
     kept = quality(marked, **{"by_share": True} | rules).filter("kept").withColumnRenamed("doc_id", "_row")
