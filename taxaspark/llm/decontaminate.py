@@ -1,9 +1,10 @@
 """Benchmark decontamination by a positional inverted index. Spark expressions only.
 
-Lists of a term's positions ("postings") are looked up in the order of their length: a window of
-a test item can occur in a text only where its rarest term occurs. So the number of occurrences of
-every test term is counted over the corpus, each window is filed under its rarest term, and the
-postings of these terms are taken from the texts together with the terms around them. The lists
+Texts are tokenised once; their terms by position are stored. Lists of a term's positions ("postings")
+are looked up in the order of their length: a window of a test item can occur in a text only where its
+rarest term occurs. So the number of occurrences of every test term is counted over the corpus, each
+window is filed under its rarest term, and the postings of these terms are taken from the stored
+positions together with the terms around them. The lists
 of a window's other terms, shifted by their offsets, meet at such a posting exactly if the text
 around it equals the window; terms in another order or with gaps give a proximity match.
 """
@@ -35,9 +36,14 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
         "item_id", "start", F.slice("all", F.col("start"), F.col("width")).alias("words"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def positions(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, tokens) of every row of ``docs(doc_id, text)``, stored: what stands where."""
+    return cut(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), tokens(F.col("text")).alias("tokens")))
+
+
+def term_counts(stored: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in the corpus of each of ``terms(term)`` that occurs."""
-    spread = docs.select(F.explode(tokens(F.col("text"))).alias("term"))
+    spread = stored.select(F.explode("tokens").alias("term"))
     return in_blocks(terms, ["term"], BLOCK_ROWS, lambda t: spread.join(F.broadcast(t), "term").groupBy("term").agg(F.count("*").alias("n")))
 
 
@@ -52,7 +58,12 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None) -> DataFrame:
-    """Matches of windows of ``items(item_id, text)`` in ``docs(doc_id, text)``, grouped by posting.
+    """As :func:`stored_matches`, in ``docs(doc_id, text)``."""
+    return stored_matches(positions(docs), items, window, slop)
+
+
+def stored_matches(stored: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None) -> DataFrame:
+    """Matches of windows of ``items(item_id, text)`` in the texts of :func:`positions`, by posting.
 
     doc_id, text_key, term, pos (of the posting, from 0), phrases: array of (item_id, start, n),
     the windows that occur word for word with the place of their first word and their length;
@@ -63,12 +74,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
     """
     windows = cut(item_windows(items, window).distinct())
     terms = cut(windows.select(F.explode("words").alias("term")).distinct())
-    anchors = cut(rarest_terms(windows, term_counts(docs, terms)))
+    anchors = cut(rarest_terms(windows, cut(term_counts(stored, terms))))
     side = window - 1 + (slop or 0)
 
     def look_up(block: DataFrame) -> DataFrame:
-        spread = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), tokens(F.col("text")).alias("tokens"))
-        posting = spread.select("doc_id", "text_key", "tokens", F.posexplode("tokens").alias("pos", "term")).join(F.broadcast(block.select("term")), "term")
+        posting = stored.select("doc_id", "text_key", "tokens", F.posexplode("tokens").alias("pos", "term")).join(F.broadcast(block.select("term")), "term")
         first = F.greatest(F.col("pos") - side, F.lit(0))
         posting = posting.select("doc_id", "text_key", "term", "pos", (F.col("pos") - first).alias("before"), F.slice("tokens", first + 1, F.col("pos") - first + side + 1).alias("around"))
         # nothing is pushed below an observation: what leaves the loop over a text's words is a
@@ -87,13 +97,14 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, text_key, n_words, n_hit (words inside an
     occurrence of a window), item_ids (as strings, sorted), contaminated."""
-    found = matches(docs, items, window).select("doc_id", "text_key", "phrases")
+    stored = positions(docs)
+    found = stored_matches(stored, items, window).select("doc_id", "text_key", "phrases")
     places = F.flatten(F.transform("phrases", lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1)))
     hits = found.select("doc_id", "text_key", F.array_distinct(places).alias("places"), F.array_distinct(F.transform("phrases", lambda p: p["item_id"].cast("string"))).alias("items"))
     hits = hits.groupBy("doc_id", "text_key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_hit"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-    base = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
+    base = stored.select("doc_id", "text_key", F.size("tokens").cast("long").alias("n_words"))
     joined = base.alias("b").join(hits.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("b.text_key") == F.col("h.text_key")), "left")
     n_hit = F.coalesce("h.n_hit", F.lit(0).cast("long"))
     return joined.select("b.doc_id", "b.text_key", "b.n_words", n_hit.alias("n_hit"), F.coalesce("h.item_ids", F.array().cast("array<string>")).alias("item_ids"), (n_hit > 0).alias("contaminated"))
