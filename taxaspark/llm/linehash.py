@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import text_key
+from taxaspark.llm.common import parts, text_key
 
 #: What parts units of a kind.
 PARTS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[\x20\x09]*\n\s*")}
@@ -41,17 +41,17 @@ def units(docs: DataFrame, kind: str = "line", min_words: int = 5) -> DataFrame:
     """(doc_id, text_key, pos, start, end, digest) of every unit with ``min_words`` words or more."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-            rows = []
-            for i, key, text in zip(ids, keys, texts, strict=True):
-                for pos, (a, b) in enumerate(split_units(text or "", kind)):
-                    unit = normalise(text[a:b]) if b > a else ""
-                    if unit.count(" ") + 1 >= min_words and unit:
-                        rows.append((i, key, pos, a, b, hashlib.md5(unit.encode()).digest()))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "text_key", "pos", "start", "end", "digest"])
+        for whole in batches:
+            for batch in parts(whole, 2):
+                rows = []
+                for i, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    for pos, (a, b) in enumerate(split_units(text or "", kind)):
+                        unit = normalise(text[a:b]) if b > a else ""
+                        if unit.count(" ") + 1 >= min_words and unit:
+                            rows.append((i, key, pos, a, b, hashlib.md5(unit.encode()).digest()))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "text_key", "pos", "start", "end", "digest"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text")
     return rows.mapInArrow(of, "doc_id long, text_key long, pos int, start long, end long, digest binary")
@@ -67,25 +67,24 @@ def repeated_units(docs: DataFrame, kind: str = "line", min_words: int = 5) -> D
     return later.select("doc_id", "text_key", "pos", "start", "end", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
-def cut_spans(text: Column, spans: Column) -> Column:
-    """``text`` without ``spans``, sorted and disjoint (start, end), and the separator after each."""
+def without_spans(text: str, spans: list[tuple[int, int]], kind: str) -> str:
+    """``text`` without ``spans``, sorted and disjoint units, each with the separator after it; after a
+    last unit that goes, the separator before it goes too if it parts paragraphs."""
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(text[at:start])
+        gone = PARTS[kind].match(text, end)
+        at = gone.end() if gone else end
+        if not gone and kind != "line":
+            kept[-1] = kept[-1].rstrip()
+    return "".join(kept) + text[at:]
 
+
+def cut_spans(text: Column, spans: Column, kind: str = "line") -> Column:
     def of(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         out = []
         for text, found in zip(texts.to_pylist(), cuts.to_pylist(), strict=True):
-            if text is None or not found:
-                out.append(text)
-                continue
-            kept, at = [], 0
-            for s in found:
-                kept.append(text[at : s["start"]])
-                at = s["end"]
-            kept.append(text[at:])
-            # a removed line leaves no empty line: the separator before the gap stays, the one after goes
-            joined = kept[0]
-            for part in kept[1:]:
-                joined += part[1:] if part.startswith("\n") and (not joined or joined.endswith("\n")) else part
-            out.append(joined)
+            out.append(text if text is None or not found else without_spans(text, [(s["start"], s["end"]) for s in found], kind))
         return pa.array(out, pa.string())
 
     return F.arrow_udf(of, "string")(text, spans)
@@ -107,4 +106,4 @@ def substring_dedup(docs: DataFrame, kind: str = "line", min_words: int = 5) ->
     df = docs.select("doc_id", "text").join(spans, (F.col("doc_id") == F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     df = df.select("doc_id", "text", F.coalesce("removed", none).alias("removed"), F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"))
-    return df.withColumn("deduped", cut_spans(F.col("text"), F.col("removed")))
+    return df.withColumn("deduped", cut_spans(F.col("text"), F.col("removed"), kind))

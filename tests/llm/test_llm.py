@@ -191,7 +191,15 @@ def test_paragraphs(spark):
     df = spark.createDataFrame([(1, text), (2, "x\n\nSecond  one has five words\n\ny")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in linehash.substring_dedup(df, kind="paragraph").collect()}
     assert out[1]["removed"] == [] and [tuple(s) for s in out[2]["removed"]] == [(3, 29)]
-    assert "Second" not in out[2]["deduped"] and out[2]["first_docs"] == [1]
+    assert out[2]["deduped"] == "x\n\ny" and out[2]["first_docs"] == [1]
+
+
+@pytest.mark.parametrize(("kind", "text", "spans", "left"), [
+    ("line", "a\nb\nc", [(2, 3)], "a\nc"), ("line", "a\nb", [(0, 1)], "b"), ("line", "a\nb", [(2, 3)], "a\n"), ("line", "a\n\nb\nb", [(3, 4), (5, 6)], "a\n\n"), ("line", "a", [(0, 1)], ""),
+    ("paragraph", "A\n\nB\n\nC", [(3, 4)], "A\n\nC"), ("paragraph", "A\n\n\nB", [(4, 5)], "A"), ("paragraph", "A\n \nB\n\nC", [(0, 1), (4, 5)], "C"),
+])
+def test_spans_go_with_their_separators(kind, text, spans, left):
+    assert linehash.without_spans(text, spans, kind) == left
 
 
 @pytest.mark.parametrize("seed", range(4))
