@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import chat, decontaminate, linealign, linehash, packing, pii, quality, simhash, sitetree, toxicity
+from taxaspark.llm import bpe, chat, decontaminate, linealign, linehash, packing, pii, quality, simhash, sitetree, toxicity
 from taxaspark.llm.common import table
 
 
@@ -82,11 +82,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text", path, public_tokenizers.PATTERN).alias("ids"))
+    written = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2(bpe.decode("ids", path), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_personal_data, op3_substring_dedup, op4_chat_format, op5_line_dedup,
         op6_quality_rules, op7_site_tree, op8_best_fit_packing, op9_simhash_near_dedup, op10_decontamination,
+        op13_byte_bpe,
     )
 }
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
