@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import bpe, chat, decontaminate, linealign, linehash, packing, pii, quality, simhash, sitetree, toxicity
+from taxaspark.llm import bpe, chat, decontaminate, linealign, linehash, packing, pii, quality, repair, simhash, sitetree, toxicity
 from taxaspark.llm.common import table
 
 
@@ -82,6 +82,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with a twentieth each of their rows dropped, emptied, cut, repeated and given to the user."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    case = F.crc32(key.cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    text = F.when(case == 1, "").when(case == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.when(case == 0, 0).when(case == 3, 2).otherwise(1)
+    return turns.select("conv_id", "turn", F.when(case == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = repair.repair(damaged(turns))
+    hashes = repair.digests(out.turns, F.concat("role", F.lit(":"), "text"))
+    own = lambda df, name: (df.withColumnRenamed("conv_id", name), F.col("conv_id").eqNullSafe(F.col(name)), "left")
+    all_ids = turns.select("conv_id").distinct().join(*own(out.audits, "_audited")).join(*own(hashes, "_hashed"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_ids.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,7 +116,7 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_personal_data, op3_substring_dedup, op4_chat_format, op5_line_dedup,
         op6_quality_rules, op7_site_tree, op8_best_fit_packing, op9_simhash_near_dedup, op10_decontamination,
-        op13_byte_bpe,
+        op11_conversation_repair, op13_byte_bpe,
     )
 }
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
