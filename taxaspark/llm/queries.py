@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaspark.llm import bpe, chat, decontaminate, linealign, linehash, packing, pii, quality, repair, simhash, sitetree, toxicity
+from taxaspark.llm import bpe, chat, decontaminate, linealign, linehash, packing, phrases, pii, quality, repair, simhash, sitetree, toxicity
 from taxaspark.llm.common import table
 
 
@@ -102,6 +102,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_ids.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,7 +120,7 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_personal_data, op3_substring_dedup, op4_chat_format, op5_line_dedup,
         op6_quality_rules, op7_site_tree, op8_best_fit_packing, op9_simhash_near_dedup, op10_decontamination,
-        op11_conversation_repair, op13_byte_bpe,
+        op11_conversation_repair, op12_collocations, op13_byte_bpe,
     )
 }
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -158,4 +162,14 @@ ORACLE_SQL: dict[str, str] = {
   t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h GROUP BY 1)
   SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
   FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_collocations": f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_UPPER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+  w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+  g AS (SELECT lang, m, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, range(1, 6) AS r(m) WHERE len(w) >= m)),
+  f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100), t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+  c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+  k AS (SELECT lang, phrase, a, k, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+  s AS (SELECT k.lang, k.phrase, a, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score, k FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.x JOIN f y ON y.lang = k.lang AND y.phrase = k.y JOIN t ON t.lang = k.lang),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  i AS (SELECT DISTINCT o.lang, o.phrase FROM (SELECT lang, a, m, unnest(flatten(list_transform(range(2, m), lambda z: list_transform(range(1, m - z + 2), lambda q: array_to_string(ws[q:q + z - 1], ' '))))) AS phrase FROM c) l JOIN c o USING (lang, phrase) WHERE 100 * l.a >= 100 * o.a)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN i USING (lang, phrase)) WHERE rank <= 2000""",
 }
