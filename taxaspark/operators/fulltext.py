@@ -1,8 +1,8 @@
 """BM25 full-text search over the columns of a table.
 
 One query over a table is one scan: each row counts the query's terms in its own words, and only
-numbers of rows and mean lengths are aggregated. For many queries the index is stored: postings (id,
-field, term, tf), by term, and field lengths. Both are made by native expressions.
+numbers of rows and mean lengths are aggregated. For many queries an index is stored, see ``textindex``.
+Both are made by native expressions.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaspark.functions import exprs, keys
+from taxaspark.operators import textindex
+from taxaspark.operators.textindex import StoredIndex, part
 
-K1, B = 1.2, 0.75
+#: Rows that are sent to the tasks at most; a longer list of hits is joined by a shuffle.
+FEW = 10_000
 #: Accented letters and what they are folded to; frequent words that aren't indexed.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
@@ -60,27 +64,26 @@ def build_fts(df: DataFrame, key: str, columns: Iterable[str], stem: Stem | None
     return TextIndex(words.groupBy("id", "field", "term").agg(F.count("*").alias("tf")), spread.select("id", "field", F.size("words").alias("len")), stem)
 
 
-def store_fts(index: TextIndex, path: str, overwrite: bool = False) -> TextIndex:
-    """Write an index below a path, postings sorted by term so that a query reads few of their row
-    groups, and give the stored one. One that is there stays unless ``overwrite``."""
-    mode = "overwrite" if overwrite else "ignore"
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode(mode).parquet(f"{path}/postings")
-    index.lengths.write.mode(mode).parquet(f"{path}/lengths")
-    return open_fts(index.postings.sparkSession, path, index.stem)
+def store_fts(df: DataFrame, key: str, columns: Iterable[str], path: str, stem: Stem | None = None, overwrite: bool = False) -> StoredIndex:
+    """Store an index of the columns below a path and open it. One that is there stays unless ``overwrite``."""
+    spark = df.sparkSession
+    if not overwrite:
+        try:
+            return open_fts(spark, path, stem)
+        except AnalysisException:  # none there
+            pass
+    return textindex.store(df, key, columns, path, lambda text: tokens(text, stem), stem)
 
 
-def open_fts(spark: SparkSession, path: str, stem: Stem | None = None) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stem)
+def open_fts(spark: SparkSession, path: str, stem: Stem | None = None) -> StoredIndex:
+    return textindex.open_index(spark, path, stem)
 
 
-def _part(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-
-
-def bm25(index: TextIndex, query: str, fields: Iterable[str] | None = None) -> DataFrame:
+def bm25(index: TextIndex | StoredIndex, query: str, fields: Iterable[str] | None = None) -> DataFrame:
     """(id, score) of the rows that hold any term of the query; frequencies, lengths and the number
     of rows with a term are taken over the chosen fields."""
+    if isinstance(index, StoredIndex):
+        return textindex.scores(index, query_terms(query), fields)
     chosen = F.col("field").isin(*fields) if fields is not None else F.lit(True)
     lengths = index.lengths.filter(chosen).groupBy("id").agg(F.sum("len").alias("len"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
@@ -88,7 +91,7 @@ def bm25(index: TextIndex, query: str, fields: Iterable[str] | None = None) -> D
     hits = index.postings.filter(chosen & wanted).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most the query's terms
     joined = hits.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(totals))  # totals: one row
-    return joined.groupBy("id").agg(F.sum(_part(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("mean"))).alias("score"))
+    return joined.groupBy("id").agg(F.sum(part(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("mean"))).alias("score"))
 
 
 def _times(words: Column, term: str) -> Column:
@@ -99,31 +102,38 @@ def scan_scores(df: DataFrame, key: str, columns: Iterable[str], query: str) ->
     """As :func:`bm25` of an index of the columns, without one: no word is exploded or shuffled.
     ``key`` must identify a row."""
     terms = query_terms(query)
-    words = df.select(F.col(key).alias("id"), tokens(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in columns])).alias("words"))
-    counts = words.select("id", F.size("words").alias("len"), *[_times(F.col("words"), t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    words = tokens(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in columns]))
+    rows = df.select(F.col(key).alias("id"), F.explode(F.array(words)).alias("words"))  # one; no condition on the words passes it
+    counts = rows.select("id", F.size("words").alias("len"), *[_times(F.col("words"), t).alias(f"tf{k}") for k, t in enumerate(terms)])
     ends = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     held = reduce(lambda a, k: a | (F.col(f"tf{k}") > 0), range(len(terms)), F.lit(False))
-    parts = [_part(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("n"), F.col("len"), F.col("mean")) for k in range(len(terms))]
+    parts = [part(F.col(f"tf{k}"), F.col(f"df{k}"), F.col("n"), F.col("len"), F.col("mean")) for k in range(len(terms))]
     return counts.filter(held).crossJoin(F.broadcast(ends)).select("id", reduce(add, parts, F.lit(0.0)).alias("score"))  # ends: one row
 
 
-def fts_search(df: DataFrame, key: str, columns: list[str], query: str, unique: bool = True, limit: int = 100, index: TextIndex | None = None) -> DataFrame:
+def fts_search(df: DataFrame, key: str, columns: list[str], query: str, unique: bool = True, limit: int = 100, index: StoredIndex | None = None) -> DataFrame:
     """Ranked rows: (species, id, score, matched_fields); of a stored index where one is given.
 
     ``unique`` takes the best row of each species before the limit, of equal ones that of the least
-    id. Blank species are dropped after it, so fewer rows may come; names are given as keys.
+    id. Blank species are dropped after it, so fewer rows may come; names are given as keys. Texts
+    are read for the rows that are given only.
     """
-    scored = bm25(index, query, columns) if index else scan_scores(df, key, columns, query)
-    rows = df.select(F.col(key).alias("id"), *[c for c in dict.fromkeys(["species", *columns]) if c != key]).join(scored, "id")
+    names = df.select(F.col(key).alias("id"), F.col("species").alias("group"))
+    if index is None:
+        scored = scan_scores(df, key, columns, query)
+    else:
+        scored = textindex.best_rows(index, query_terms(query), limit, columns, names if unique else None)
     if unique:
-        best = rows.groupBy("species").agg(F.min_by(F.struct(*rows.columns), F.struct(-F.col("score"), "id")).alias("r"))
-        rows = best.select("r.*")
-    top = rows.orderBy(F.desc("score"), "id").limit(limit)
+        best = names.join(scored, "id").groupBy("group").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("r"))
+        scored = best.select("r.*")
+    top = scored.orderBy(F.desc("score"), "id").limit(limit)
+    rows = df.select(F.col(key).alias("id"), *[c for c in dict.fromkeys(["species", *columns]) if c != key])
+    rows = rows.join(F.broadcast(top) if limit <= FEW else top, "id").orderBy(F.desc("score"), "id")
     fields = exprs.token_matched_fields([c for c in columns if c in rows.columns], query)
-    return top.filter(exprs.not_blank(F.col("species"))).select(keys.underscore_key(F.trim("species")).alias("species"), "id", exprs.rounded_score(F.col("score")).alias("score"), fields.alias("matched_fields"))
+    return rows.filter(exprs.not_blank(F.col("species"))).select(keys.underscore_key(F.trim("species")).alias("species"), "id", exprs.rounded_score(F.col("score")).alias("score"), fields.alias("matched_fields"))
 
 
-def search_occurrences(df: DataFrame, query: str, key: str, limit: int = 100, index: TextIndex | None = None) -> DataFrame:
+def search_occurrences(df: DataFrame, query: str, key: str, limit: int = 100, index: StoredIndex | None = None) -> DataFrame:
     """Species by any searched column of occurrence records, best first; nothing for an empty query."""
     found = fts_search(df, key, [c for c in OCCURRENCE_COLUMNS if c in df.columns], query.strip(), limit=limit, index=index)
     return found if query.strip() else found.limit(0)

@@ -13,6 +13,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sources(d: str) -> list[str]:
+    """The files that the catalog and the occurrences are made from."""
+    return [f"{d}/{t}.parquet" for t in ("orders", "customer", "nation", "region", "part")]
+
+
 def _specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation, region, part = (_read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region", "part"))
     df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))

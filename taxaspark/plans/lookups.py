@@ -11,6 +11,7 @@ from taxaspark.plans import fusion, similarity
 from taxaspark.plans.fixtures import sql
 from taxaspark.plans.queries import _DIST, _ITEM, _NEAR, _TOK, _STOP, _UNIT, KEY, _first_vector
 from taxaspark.plans.registry import query
+from taxaspark.sources import stored
 
 OWN = "lower(replace(species, '_', '')) = 'genusspecies1'"
 NAME = "Genus_species1"
@@ -183,7 +184,10 @@ _OCC_BM25 = sql("", "occurrences") + f""", t AS (SELECT img_id AS id, species, {
 
 @query(_OCC_BM25)
 def occurrence_search(spark, d):
-    return fulltext.search_occurrences(fx.occurrences(spark, d), "blue anvil BUILDING", "img_id").select("species", "score")
+    rows = fx.occurrences(spark, d)
+    columns = [c for c in fulltext.OCCURRENCE_COLUMNS if c in rows.columns]
+    path = stored.once(spark, "occurrence-index", fx.sources(d), lambda to: fulltext.store_fts(rows, "img_id", columns, to, overwrite=True))
+    return fulltext.search_occurrences(rows, "blue anvil BUILDING", "img_id", index=fulltext.open_fts(spark, path)).select("species", "score")
 
 
 _IMAGES = "SELECT img_id AS imgId, species, 1.0::DOUBLE AS score FROM catalog WHERE species IN (SELECT species FROM occurrences WHERE {})"

@@ -261,11 +261,11 @@ def test_fulltext(spark):
 def test_stored_index(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", "the red foxes"), (2, "y", "fox"), (3, "z", "blue")], "id long, species string, text string")
     stem = lambda w: F.regexp_replace(w, "(es|s)$", "")
-    index = fulltext.store_fts(fulltext.build_fts(df, "id", ["text"], stem), str(tmp_path / "i"))
+    index = fulltext.store_fts(df, "id", ["text"], str(tmp_path / "i"), stem)
     assert sorted(r["id"] for r in fulltext.bm25(index, "Foxes").collect()) == [1, 2]
-    other = fulltext.build_fts(df.filter("id = 3"), "id", ["text"], stem)
-    assert fulltext.store_fts(other, str(tmp_path / "i")).lengths.count() == 3
-    assert fulltext.store_fts(other, str(tmp_path / "i"), overwrite=True).lengths.count() == 1
+    other = df.filter("id = 3")
+    assert fulltext.store_fts(other, "id", ["text"], str(tmp_path / "i"), stem).lengths.count() == 3
+    assert fulltext.store_fts(other, "id", ["text"], str(tmp_path / "i"), stem, overwrite=True).lengths.count() == 1
     plain = fulltext.build_fts(df, "id", ["species", "text"])
     scan = fulltext.scan_scores(df, "id", ["species", "text"], "red fox x")
     both = [sorted((r["id"], round(r["score"], 9)) for r in f.collect()) for f in (fulltext.bm25(plain, "red fox x"), scan)]
