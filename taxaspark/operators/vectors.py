@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaspark.operators import catalog
 
-#: Query vectors that are broadcast to the tasks at once.
-QUERY_BLOCK = 2000
+#: Query vectors that are compared at once; items of a chunk, which a task holds in memory; chunks
+#: whose best are merged at once.
+QUERY_BLOCK, ITEM_CHUNK, FAN = 2000, 50_000, 32
 METRICS = ("cosine", "l2")
 
 
@@ -117,59 +119,78 @@ def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.take_along_axis(distance, kept, axis=1), np.take_along_axis(ids, kept, axis=1)
 
 
-def _local_top(queries: np.ndarray, numbers: np.ndarray, column: str, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The k nearest items of a whole partition to each query, kept from batch to batch."""
-
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            for at in range(0, len(pdf), ITEM_BLOCK):
-                part = pdf.iloc[at : at + ITEM_BLOCK]
-                items = np.array(part[column].tolist(), float)
-                size = np.linalg.norm(items, axis=1)
-                distance = 1 - queries @ (items / np.where(size == 0, 1, size)[:, None]).T
-                distance[:, size == 0] = 1
-                ids = np.broadcast_to(part["img_id"].to_numpy(), distance.shape)
-                if best is not None:
-                    distance, ids = np.hstack([best[0], distance]), np.hstack([best[1], ids])
-                best = _nearest(distance, ids, k)
+def _best_of_chunk(queries: np.ndarray, items: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest items to each of the unit vectors ``queries``."""
+    best = None
+    for ids, vectors in items:
+        vectors = vectors.astype(float)
+        size = np.linalg.norm(vectors, axis=1)
+        distance = 1 - queries @ (vectors / np.where(size == 0, 1, size)[:, None]).T
+        distance[:, size == 0] = 1
+        own = np.broadcast_to(ids, distance.shape)
         if best is not None:
-            n = best[0].shape[1]
-            for q in range(0, len(numbers), ITEM_BLOCK):
-                distance, ids = (x[q : q + ITEM_BLOCK] for x in best)
-                yield pd.DataFrame({"query": np.repeat(numbers[q : q + ITEM_BLOCK], n), "imgId": ids.ravel(), "distance": distance.ravel()})
+            distance, own = np.hstack([best[0], distance]), np.hstack([best[1], own])
+        best = _nearest(distance, own, k)
+    return best
 
-    return top
 
+def _compare_chunks(k: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (chunk, side, query, img_id, item, centroid) by chunk and side: the items of a chunk are
+    kept, then the queries come, a block at a time, and leave with their nearest."""
 
-def batch_top_k(queries: DataFrame, items: DataFrame, k: int = 800, column: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, items = None, []
+        for batch in batches:
+            place = batch.column("chunk").to_numpy() * 2 + batch.column("side").to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+            for a, b in zip(bounds, bounds[1:]):
+                if b == a:
+                    continue
+                chunk, side = divmod(int(place[a]), 2)
+                if chunk != at:
+                    at, items = chunk, []
+                for lo in range(a, b, block if side else ITEM_BLOCK):
+                    part = batch.slice(lo, min(b - lo, block if side else ITEM_BLOCK))
+                    if not side:
+                        items.append((part.column("img_id").to_numpy(zero_copy_only=False), matrix(part.column("item"), part.num_rows)))
+                    elif items:
+                        distance, ids = _best_of_chunk(matrix(part.column("centroid"), part.num_rows), items, k)
+                        numbers = np.repeat(part.column("query").to_numpy(), distance.shape[1])
+                        for lo_row in range(0, len(numbers), 1 << 16):
+                            own = slice(lo_row, lo_row + (1 << 16))
+                            n = len(numbers[own])
+                            yield pa.record_batch({"query": pa.array(numbers[own]), "chunk": pa.array(np.full(n, at, np.int32)), "imgId": pa.array(ids.ravel()[own], batch.schema.field("img_id").type), "distance": pa.array(distance.ravel()[own])})
+
+    return run
+
+
+def batch_top_k(queries: DataFrame, items: DataFrame, k: int = 800, column: str = "embedding", block: int = QUERY_BLOCK, chunk: int = ITEM_CHUNK) -> DataFrame:
     """(query, imgId, distance, rank): the k nearest of ``items(img_id, column)`` to each of
     ``queries(query long, centroid)`` by cosine.
 
-    Queries are taken in blocks of a bounded number of vectors, each sent to the tasks; items stay
-    where they are and each partition keeps only its own k best, which a window then ranks.
+    Items are dealt to numbered chunks of about ``chunk``, which each query visits; a chunk gives k
+    rows a query, and the chunks' best are merged in a tree. Neither side passes through the driver,
+    and the plan doesn't grow with them. Rows without a vector are left out.
     """
-    rows = queries.select("query", l2_normalize(F.col("centroid")).alias("v")).orderBy("query").toLocalIterator()
-    kind = dict(items.dtypes)["img_id"]
-    found, held = None, []
-
-    def search() -> None:
-        nonlocal found
-        if held:
-            matrix, numbers = np.array([r["v"] for r in held]), np.array([r["query"] for r in held], np.int64)
-            part = items.select("img_id", column).mapInPandas(_local_top(matrix, numbers, column, k), f"query long, imgId {kind}, distance double")
-            found = part if found is None else found.unionByName(part)
-            held.clear()
-
-    for row in rows:
-        held.append(row)
-        if len(held) == block:
-            search()
-    search()
-    if found is None:
-        return items.sparkSession.createDataFrame([], f"query long, imgId {kind}, distance double, rank int")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.round("distance", 9), "imgId"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    items = items.filter(F.col(column).isNotNull())
+    n = items.count()
+    chunks = max(1, -(-n // chunk), min(items.sparkSession.sparkContext.defaultParallelism, n // ITEM_BLOCK))
+    kind, vector = dict(items.dtypes)["img_id"], dict(items.dtypes)[column]
+    none = lambda t: F.lit(None).cast(t)
+    own = items.select((F.monotonically_increasing_id() % chunks).cast("int").alias("chunk"), F.lit(0).alias("side"), none("long").alias("query"), "img_id", F.col(column).alias("item"), none("array<double>").alias("centroid"))
+    every = queries.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("side"), "query", none(kind).alias("img_id"), none(vector).alias("item"), l2_normalize(F.col("centroid")).alias("centroid"))
+    met = own.unionByName(every).repartition(chunks, "chunk").sortWithinPartitions("chunk", "side")
+    found = met.mapInArrow(_compare_chunks(k, block), f"query long, chunk int, imgId {kind}, distance double")
+    order = (F.round("distance", 9), F.col("imgId"))
+    while chunks > FAN:
+        found, chunks = found.withColumn("chunk", F.floor(F.col("chunk") / FAN).cast("int")), -(-chunks // FAN)
+        rank = F.row_number().over(W.partitionBy("query", "chunk").orderBy(*order))
+        found = found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(*order))
+    return found.drop("chunk").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def embed_column(df: DataFrame, column: str, encoder: Callable[[], Callable[[list], list]], dim: int, key: str = "img_id", batch: int = 150) -> DataFrame:

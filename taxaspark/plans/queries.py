@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from taxaspark.functions import exprs, keys
-from taxaspark.operators import catalog, corpora, fulltext, projection, taxonomy, vectors
+from taxaspark.operators import catalog, corpora, fulltext, projection, taxonomy, vectorindex, vectors
 from taxaspark.plans import fixtures as fx
 from taxaspark.plans import fusion, search, similarity
 from taxaspark.plans.fixtures import sql
@@ -98,6 +98,31 @@ def vector_top_k(spark, d):
     return vectors.vector_search(fx.vectors(spark, d), _first_vector(spark, d)).select("imgId", F.round("distance", 6).alias("distance"))
 
 
+def vector_index(spark, d, metric="cosine"):
+    """The stored copy of the vectors in blocks; made by the first query that needs it."""
+    path = stored.once(spark, f"vectors-{metric}", [f"{d}/embeddings.parquet"], lambda to: vectorindex.store(fx.vectors(spark, d), to, metric=metric))
+    return vectorindex.VectorIndex(spark, path, "embedding", metric)
+
+
+@query(sql(f"SELECT img_id AS imgId, round({_DIST}, 6) AS distance FROM vectors ORDER BY {_DIST}, img_id LIMIT 50", "vectors"))
+def vector_top_k_by_blocks(spark, d):
+    return vectorindex.search(vector_index(spark, d), _first_vector(spark, d)).select("imgId", F.round("distance", 6).alias("distance"))
+
+
+@query(sql(f"SELECT img_id AS imgId, round({_DIST}, 6) AS distance FROM vectors WHERE img_id % 2 = 0 AND {_DIST} <= 0.8 ORDER BY {_DIST}, img_id LIMIT 20", "vectors"))
+def vector_within_by_blocks(spark, d):
+    found = vectorindex.search(vector_index(spark, d), _first_vector(spark, d), 20, 0.8, fx.vectors(spark, d).filter("img_id % 2 = 0"))
+    return found.select("imgId", F.round("distance", 6).alias("distance"))
+
+
+_FAR = "list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+
+
+@query(sql(f"SELECT img_id AS imgId, round({_FAR} * {_FAR}, 5) AS distance FROM vectors ORDER BY {_FAR}, img_id LIMIT 50", "vectors"))
+def vector_l2_by_blocks(spark, d):
+    return vectorindex.search(vector_index(spark, d, "l2"), _first_vector(spark, d)).select("imgId", F.round("distance", 5).alias("distance"))
+
+
 @query(sql(f"SELECT species, arg_min(imgId, dist) AS imgId, round(min(dist), 6) AS distance FROM (SELECT img_id AS imgId, {_DIST} AS dist FROM vectors ORDER BY 2, 1 LIMIT 50) JOIN vector_meta ON imgId = img_id GROUP BY 1", "vectors", "vector_meta"))
 def vector_best_per_species(spark, d):
     return vectors.search_by_vector(fx.vectors(spark, d), fx.vector_meta(spark, d), _first_vector(spark, d)).select("species", "imgId", F.round("distance", 6).alias("distance"))

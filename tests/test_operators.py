@@ -232,6 +232,24 @@ def test_batch_top_k_equals_a_full_sort(spark):
     assert got == {q: [i for _, i in sorted(v)[:30]] for q, v in want.items()}
 
 
+@pytest.mark.parametrize("chunk,fan", [(7, 3), (40, 2), (1000, 32)])
+def test_batch_top_k_over_many_chunks(spark, monkeypatch, chunk, fan):
+    """Chunks are merged in a tree; the plan has as many nodes for a thousand queries as for two."""
+    monkeypatch.setattr(vectors, "FAN", fan)
+    r = np.random.default_rng(2)
+    items = spark.createDataFrame([(f"i{k:03d}", [float(x) for x in r.integers(-2, 3, 3)]) for k in range(300)] + [("none", None)], "img_id string, embedding array<float>").repartition(5)
+    queries = lambda n: spark.createDataFrame([(k, [float(x) + 0.5 for x in np.random.default_rng(k).integers(-2, 3, 3)]) for k in range(n)], "query long, centroid array<double>")
+    out = vectors.batch_top_k(queries(9), items, 12, block=4, chunk=chunk)
+    got = {}
+    for row in out.orderBy("query", "rank").collect():
+        got.setdefault(row["query"], []).append((row["imgId"], round(row["distance"], 9)))
+    for q in queries(9).collect():
+        scan = items.filter("embedding is not null").select("img_id", F.round(vectors.cosine_distance(F.col("embedding"), F.array(*map(F.lit, q["centroid"]))), 9).alias("d")).orderBy("d", "img_id").limit(12)
+        assert got[q["query"]] == [(s["img_id"], pytest.approx(s["d"], abs=2e-9)) for s in scan.collect()]
+    nodes = lambda n: len(vectors.batch_top_k(queries(n), items, 3, chunk=chunk)._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert nodes(2) == nodes(1000)
+
+
 def test_projection_keeps_the_largest_variances(spark):
     r = np.random.default_rng(3)
     data = r.normal(size=(60, 5)) * [9, 4, 1, 0.5, 0.1]
