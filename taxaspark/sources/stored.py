@@ -26,19 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it names it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
+    fs, where = file_system(spark, path)
     return fs.exists(where)
 
 
 def state_of(spark: SparkSession, path: str) -> str:
     """Names, sizes and times of the files at a path, as one digest."""
-    fs, where = _fs(spark, path)
+    fs, where = file_system(spark, path)
     files, found = fs.listFiles(where, True), []
     while files.hasNext():
         f = files.next()
@@ -53,6 +54,6 @@ def once(spark: SparkSession, name: str, sources: Iterable[str], make: Callable[
     path = f"{shared_dir(spark)}/taxaspark-{spark.sparkContext.applicationId}/{name}-{known}"
     if not exists(spark, f"{path}/_DONE"):
         make(path)
-        fs, done = _fs(spark, f"{path}/_DONE")
+        fs, done = file_system(spark, f"{path}/_DONE")
         fs.create(done, True).close()
     return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +65,22 @@ def of_dims(df: DataFrame, dims: dict[str, int]) -> DataFrame:
     return df
 
 
-def first_of_key(df: DataFrame, key: str) -> DataFrame:
-    """One row of each key: of several the least by the other columns, in order."""
-    others = [c for c in df.columns if c != key]
-    kept = df.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")) if others else df.distinct()
-    return kept.select(*[F.col(key) if c == key else F.col(f"_row.`{c}`") for c in df.columns])
+def _ordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def first_of_key(df: DataFrame, *key: str) -> DataFrame:
+    """One row of each key: of several the least by the other columns, in order; as JSON if they hold a
+    map, which has no order."""
+    on = [F.col(f"`{k}`").alias(f"_key{n}") for n, k in enumerate(key)]
+    others = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in key], F.lit(0).alias("_none"))
+    row = F.min(others) if _ordered(T.StructType([f for f in df.schema if f.name not in key])) else F.min_by(others, F.to_json(others))
+    kept = df.groupBy(*on).agg(row.alias("_row"))
+    return kept.select(*[F.col(f"_key{key.index(c)}").alias(c) if c in key else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, key: str = "img_id") -> DataFrame:
@@ -90,14 +103,21 @@ def replace_keys(target: DataFrame, batch: DataFrame, keys: DataFrame) -> DataFr
 def store_keys(spark: SparkSession, table: str, batch: DataFrame, keys: DataFrame, force: bool = False) -> DataFrame:
     """Store the batch in place of the rows of ``keys``; ``force`` drops what the table held before.
 
-    The new content is written beside the table and takes its name then, so that a run that fails
-    leaves the old one.
+    The new content goes to a folder of its own, and the table's location is set to it then, in one
+    step: a run that fails leaves the old content. For large tables see ``keyed.KeyedTable``, which
+    rewrites only what the keys touch.
     """
-    there = spark.catalog.tableExists(table) and not force
-    out = replace_keys(spark.table(table), batch, keys) if there else batch
-    out.write.mode("overwrite").saveAsTable(f"{table}__new")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {table}__new RENAME TO {table}")
+    there = spark.catalog.tableExists(table)
+    out = replace_keys(spark.table(table), batch, keys) if there and not force else batch
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table.replace('.', '/')}__{uuid.uuid4().hex}"
+    out.write.parquet(folder)
+    if there and spark.table(table).schema.simpleString() != out.schema.simpleString():
+        raise ValueError(f"{table} has other columns than the batch")
+    if there:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.catalog.createTable(table, folder, "parquet")
     return spark.table(table)
 
 

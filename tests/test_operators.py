@@ -12,6 +12,7 @@ from taxaspark.functions import exprs, keys
 from taxaspark.operators import catalog, corpora, fulltext, projection, taxonomy, vectors
 from taxaspark.plans import fusion, search, similarity
 from taxaspark.sources import tables
+from taxaspark.sources.keyed import KeyedTable
 from taxaspark.streaming.ingest import stream_ingest
 
 SPECIMENS = [
@@ -366,5 +367,5 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         stream_ingest(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
-        assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+        assert KeyedTable.open(spark, str(tmp_path / "out")).read().count() == 2
         rows.write.mode("append").parquet(str(tmp_path / "in"))
