@@ -72,6 +72,35 @@ def zoom_counts(tiles: DataFrame) -> DataFrame:
     return tile_counts(tiles).groupBy("z").agg(F.count("*").alias("n_tiles"), F.sum("n_points").alias("n_points"))
 
 
+#: Parts of a tile's side that a cell is; the margin is a whole number of them.
+CELL = 64
+
+
+def pyramid_counts(points: DataFrame, max_zoom: int = 9) -> DataFrame:
+    """(z, tx, ty, n_points) as :func:`tile_counts` of :func:`tile_index`, without a row for each point
+    and tile.
+
+    Points are counted once, by the cells of the deepest zoom; a cell's number halves from zoom to
+    zoom. What is shuffled after that is bounded by the cells: of each zoom its cells, and of each
+    cell the at most two tiles on an axis whose margins reach it.
+    """
+    deep, reach = CELL << max_zoom, (IMAGE // 2 + MARGIN) * CELL // TILE
+    at = [F.floor(F.col(c) * deep).cast("long").alias(f"c{c}") for c in ("x", "y")]
+    cells = points.select(*at).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    zooms = cells.select(F.explode(F.sequence(F.lit(0), F.lit(max_zoom))).alias("z"), "cx", "cy", "n")
+    up = lambda c: F.expr(f"shiftright({c}, {max_zoom} - z)").alias(c)
+    rolled = zooms.select("z", up("cx"), up("cy"), "n").groupBy("z", "cx", "cy").agg(F.sum("n").alias("n"))
+
+    def tiles(c: str) -> Column:
+        last = F.expr("shiftleft(1L, z)") - 1
+        low = F.greatest(F.lit(0), F.floor((F.col(c) - reach) / CELL))  # the tile before, if its margin reaches the cell
+        high = F.least(last, F.floor((F.col(c) + reach) / CELL))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+    spread = rolled.withColumn("tx", F.explode(tiles("cx"))).withColumn("ty", F.explode(tiles("cy")))
+    return spread.groupBy("z", "tx", "ty").agg(F.sum("n").alias("n_points"))
+
+
 def project_2d(df: DataFrame, column: str = "embedding", key: str = "img_id") -> DataFrame:
     """(key, x, y): the first two principal components, fitted by Spark over all rows."""
     from pyspark.ml.feature import PCA

@@ -147,6 +147,11 @@ SQL = {
 }
 
 
+_FIRST = ", ".join(f'any_value({c}) AS {c}' for c in ("species", "family", '"order"', "common_name", "sex", "source_db", "class_dv", "kingdom", "phylum", "class", "life_stage"))
+#: The catalog by way of an aggregate: the engine fails on a condition on texts that come from a join as they lie in the files.
+FLAT = f"(SELECT img_id, {_FIRST} FROM catalog GROUP BY img_id)"
+
+
 def sql(body: str, *views: str) -> str:
     """``body`` over the named views."""
     return "WITH " + ", ".join(f"{v} AS ({SQL[v]})" for v in views) + " " + body

@@ -78,7 +78,7 @@ def dorsal_images(spark, d):
     return catalog.side_filter(fx.catalog(spark, d), "Dorsal").groupBy("species").agg(F.count("*").alias("n"))
 
 
-@query(sql(f"SELECT species, count(*) AS n FROM catalog WHERE {KEY} <> 'blue_anvil' GROUP BY 1", "catalog"))
+@query(sql(f"SELECT species, count(*) AS n FROM {fx.FLAT} WHERE {KEY} <> 'blue_anvil' GROUP BY 1", "catalog"))
 def other_species(spark, d):
     return catalog.exclude_species(fx.catalog(spark, d), "Blue anvil").groupBy("species").agg(F.count("*").alias("n"))
 
@@ -246,7 +246,7 @@ def point_boxes(spark, d):
     return df.select("img_id", point.alias("p")).select("img_id", box.alias("b")).select("img_id", *[F.round(f"b.{c}", 9).alias(c) for c in ("lat0", "lat1", "lon0", "lon1")])
 
 
-@query("SELECT event_id AS id, greatest(0, least(100, round(value)))::INTEGER AS percent, greatest(0, least(100, round(100 * greatest(0, 1 - value / 50))))::INTEGER AS near, round(value / 7, 4) AS score FROM events")
+@query("SELECT event_id AS id, greatest(0, least(100, round(100 * (value / 100))))::INTEGER AS percent, greatest(0, least(100, round(100 * greatest(0, 1 - value / 50))))::INTEGER AS near, round(value / 7, 4) AS score FROM events")
 def match_percents(spark, d):
     value = F.col("value")
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), exprs.match_percent(value / 100).alias("percent"), exprs.match_percent(value / 50, distance=True).alias("near"), exprs.rounded_score(value / 7).alias("score"))

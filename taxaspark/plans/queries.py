@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from taxaspark.functions import exprs, keys
-from taxaspark.operators import catalog, corpora, fulltext, projection, taxonomy, vectorindex, vectors
+from taxaspark.operators import catalog, corpora, fulltext, paged, projection, spatial, statistics, substring, taxonomy, vectorindex, vectors
 from taxaspark.plans import fixtures as fx
 from taxaspark.plans import fusion, search, similarity
 from taxaspark.plans.fixtures import sql
@@ -30,12 +30,12 @@ def catalog_field(spark, d):
 _ALL = " OR ".join(f"coalesce(replace({c}, '_', ' ') ILIKE '%male%', false)" for c in ("class_dv", "family", "species", "sex", "life_stage", "source_db", "kingdom", "phylum", "class", '"order"', "common_name"))
 
 
-@query(sql(f"SELECT count(*) AS n FROM catalog WHERE {_ALL}", "catalog"))
+@query(sql(f"SELECT count(*) AS n FROM {fx.FLAT} WHERE {_ALL}", "catalog"))
 def catalog_all_total(spark, d):
     return search.search_catalog(fx.catalog(spark, d), "male").total
 
 
-@query(sql(f"SELECT img_id, species, sex, ['sex'] AS matched_fields FROM catalog WHERE {_ALL} ORDER BY img_id LIMIT 50 OFFSET 50", "catalog"))
+@query(sql(f"SELECT img_id, species, sex, ['sex'] AS matched_fields FROM {fx.FLAT} WHERE {_ALL} ORDER BY img_id LIMIT 50 OFFSET 50", "catalog"))
 def catalog_all_page(spark, d):
     return search.search_catalog(fx.catalog(spark, d), "male", page=2).specimens.select("img_id", "species", "sex", "matched_fields")
 
@@ -50,6 +50,76 @@ def catalog_box(spark, d):
     return search.search_catalog(fx.catalog(spark, d), "-10.0, -161.0", "coordinate").specimens.select("img_id", "lat", "lon", "matched_fields")
 
 
+def substring_index(spark, d):
+    """The stored index of the catalog's fields; made by the first query that needs it."""
+    return substring.SubstringIndex(spark, stored.once(spark, "substring-index", fx.sources(d), lambda to: substring.store(fx.catalog(spark, d), to)))
+
+
+@query(sql(f"SELECT img_id, species, sex, ['sex'] AS matched_fields FROM {fx.FLAT} WHERE {_ALL} ORDER BY img_id LIMIT 50 OFFSET 50", "catalog"))
+def catalog_all_page_by_index(spark, d):
+    return search.search_catalog(fx.catalog(spark, d), "male", page=2, index=substring_index(spark, d)).specimens.select("img_id", "species", "sex", "matched_fields")
+
+
+@query(sql(f"SELECT count(*) AS n FROM {fx.FLAT} WHERE replace(species, '_', ' ') ILIKE '%lue%t%'", "catalog"))
+def catalog_total_by_index(spark, d):
+    return substring.match_count(substring_index(spark, d), "lue%t", "species")
+
+
+@query(sql("SELECT 'common_name' AS field, common_name AS value, count(*) AS n FROM catalog WHERE common_name ILIKE '%000%' GROUP BY 2 UNION ALL SELECT 'species', species, count(*) FROM catalog WHERE species ILIKE '%000%' GROUP BY 2", "catalog"))
+def catalog_values(spark, d):
+    return substring.matching(substring_index(spark, d), "000", ["common_name", "species"])
+
+
+def placed_catalog(spark, d):
+    """The catalog in the order of its places."""
+    return spark.read.parquet(stored.once(spark, "catalog-by-place", fx.sources(d), lambda to: spatial.store(fx.catalog(spark, d), to)))
+
+
+@query(sql("SELECT img_id, lat, lon FROM catalog WHERE lat BETWEEN -20.5 AND 33 AND lon BETWEEN -70 AND 10.25", "catalog"))
+def catalog_box_by_key(spark, d):
+    return placed_catalog(spark, d).filter(spatial.in_box(-20.5, 33, -70, 10.25)).select("img_id", "lat", "lon")
+
+
+def paged_catalog(spark, d):
+    """The catalog in the order of its species, with the counts of its parts."""
+    path = stored.once(spark, "catalog-pages", fx.sources(d), lambda to: paged.store(fx.catalog(spark, d), to, "species", "img_id"))
+    return paged.PagedTable(spark, path, ("species", "img_id"))
+
+
+@query(sql("SELECT species, img_id, family FROM catalog ORDER BY species, img_id LIMIT 40 OFFSET 920", "catalog"))
+def catalog_page_by_counts(spark, d):
+    return paged.page(paged_catalog(spark, d), 24, 40).select("species", "img_id", "family")
+
+
+@query(sql("SELECT species, img_id FROM catalog WHERE (species, img_id) > ('large plate', 300) ORDER BY species, img_id LIMIT 75", "catalog"))
+def catalog_page_after_key(spark, d):
+    return paged.page_after(paged_catalog(spark, d), ("large plate", 300), 75).select("species", "img_id")
+
+
+def collection_states(spark, d):
+    """States of the catalog's parts: here the specimens of each source."""
+    def make(path):
+        own = statistics.Statistics(spark, path, ("family", "species", "common_name"))
+        own.refresh((s or "none", fx.catalog(spark, d).filter(F.col("source_db").eqNullSafe(F.lit(s)))) for s in ("gbif", "ecdysis", "scanbugs", "inat", None))
+
+    return statistics.Statistics(spark, stored.once(spark, "collection-states", fx.sources(d), make), ("family", "species", "common_name"))
+
+
+_COUNTS = " UNION ALL ".join(f"SELECT '{c}' AS field, count(DISTINCT {c}) AS n_distinct, count(*) AS n_rows FROM catalog{{0}}" for c in ("family", "species", "common_name"))
+
+
+@query(sql(_COUNTS.format(""), "catalog"))
+def collection_counts_by_states(spark, d):
+    own = collection_states(spark, d)
+    return own.merged().crossJoin(F.broadcast(own.rows()))  # one row
+
+
+@query(sql(_COUNTS.format(" WHERE source_db IS NULL OR source_db NOT IN ('gbif', 'inat')"), "catalog"))
+def collection_counts_of_parts(spark, d):
+    own = collection_states(spark, d)
+    return own.merged(["gbif", "inat"]).crossJoin(F.broadcast(own.rows(["gbif", "inat"])))  # one row
+
+
 @query(sql("SELECT count(*) AS n_specimens, count(DISTINCT family) AS n_families, count(DISTINCT species) AS n_species, (SELECT count(DISTINCT species) FROM occurrences) AS n_occurrence_species, (SELECT count(DISTINCT species) FROM traits) AS n_trait_species FROM catalog", "catalog", "occurrences", "traits"))
 def collection_stats(spark, d):
     return catalog.collection_stats(fx.catalog(spark, d), fx.occurrences(spark, d), fx.traits(spark, d))
@@ -259,13 +329,22 @@ def tile_occupancy(spark, d):
     return projection.tile_counts(projection.tile_index(projection.normalize_xy(fx.points(spark, d)), max_zoom=6))
 
 
-@query(sql("""SELECT z::INTEGER AS z, count(*) AS n_tiles, sum(n)::BIGINT AS n_points FROM (SELECT z, tx, ty, count(*) AS n FROM (SELECT z, tx, unnest(range(greatest(0, floor(y * s - 1.265625)::BIGINT + 1), least(s, floor(y * s + 0.265625)::BIGINT + 1))) AS ty
+ZOOMS = sql("""SELECT z::INTEGER AS z, count(*) AS n_tiles, sum(n)::BIGINT AS n_points FROM (SELECT z, tx, ty, count(*) AS n FROM (SELECT z, tx, unnest(range(greatest(0, floor(y * s - 1.265625)::BIGINT + 1), least(s, floor(y * s + 0.265625)::BIGINT + 1))) AS ty
   FROM (SELECT z, y, s, unnest(range(greatest(0, floor(x * s - 1.265625)::BIGINT + 1), least(s, floor(x * s + 0.265625)::BIGINT + 1))) AS tx
-  FROM (SELECT 0.05 + 0.9 * (UMAP1 - min(UMAP1) OVER ()) / (max(UMAP1) OVER () - min(UMAP1) OVER ()) AS x, 0.05 + 0.9 * (UMAP2 - min(UMAP2) OVER ()) / (max(UMAP2) OVER () - min(UMAP2) OVER ()) AS y FROM projection), (SELECT z, 1 << z AS s FROM range(0, 10) AS zs(z)))) GROUP BY ALL) GROUP BY z""", "projection"))
+  FROM (SELECT 0.05 + 0.9 * (UMAP1 - min(UMAP1) OVER ()) / (max(UMAP1) OVER () - min(UMAP1) OVER ()) AS x, 0.05 + 0.9 * (UMAP2 - min(UMAP2) OVER ()) / (max(UMAP2) OVER () - min(UMAP2) OVER ()) AS y FROM projection), (SELECT z, 1 << z AS s FROM range(0, 10) AS zs(z)))) GROUP BY ALL) GROUP BY z""", "projection")
+
+
+@query(ZOOMS)
 def tile_zooms(spark, d):
     return projection.zoom_counts(projection.tile_layout(projection.tile_index(projection.normalize_xy(fx.points(spark, d)))))
 
 
+@query(ZOOMS)
+def tile_zooms_by_cells(spark, d):
+    counts = projection.pyramid_counts(projection.normalize_xy(fx.points(spark, d)))
+    return counts.groupBy("z").agg(F.count("*").alias("n_tiles"), F.sum("n_points").alias("n_points"))
+
+
 @query(sql("SELECT min(UMAP1) - 0.6 AS x_low, max(UMAP1) + 0.6 AS x_high, min(UMAP2) - 0.6 AS y_low, max(UMAP2) + 0.6 AS y_high FROM projection", "projection"))
 def plot_bounds(spark, d):
     return projection.plot_bounds(fx.points(spark, d))

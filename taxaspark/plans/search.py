@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.functions import exprs, keys
-from taxaspark.operators import catalog
+from taxaspark.operators import catalog, substring
 
 
 @dataclass
@@ -28,22 +28,24 @@ def _species(rows: DataFrame, flags: dict[str, Column], fallback: str, query: st
     return folded.withColumn("score", exprs.relevance(F.col("species"), F.col("matched_fields"), query)).orderBy(F.desc("score"), "species")
 
 
-def search_catalog(df: DataFrame, query: str, field: str = "all", page: int = 1, limit: int = 50) -> SearchResult:
+def search_catalog(df: DataFrame, query: str, field: str = "all", page: int = 1, limit: int = 50, index: substring.SubstringIndex | None = None) -> SearchResult:
     """Search one field, all fields ("all"), or around a point ("coordinate", "lat, lon").
 
     A field's case and spaces don't matter, an unknown one means all. The species list is limited
     before it is scored and doesn't follow the pages. An empty query and a point that can't be read
-    give empty results.
+    give empty results. With an ``index`` of the table's fields they are tested by their matching values.
     """
     query, field = query.strip(), field.strip().lower().replace(" ", "_")
     if field == "coordinate":
         hit = exprs.near_point(query)
         flags, fallback, fields = {"lat": hit, "lon": hit}, "lat", F.array(F.lit("lat"), F.lit("lon"))
     elif field in exprs.SEARCH_FIELDS and field in df.columns:
-        hit = F.coalesce(exprs.field_match(field, query), F.lit(False))
+        own = substring.match_flags(index, query, [field])[field] if index else exprs.field_match(field, query)
+        hit = F.coalesce(own, F.lit(False))
         flags, fallback, fields = {field: hit}, field, F.array(F.lit(field))
     else:
-        flags = catalog.match_flags(query, [f for f in exprs.SEARCH_FIELDS if f in df.columns])
+        names = [f for f in exprs.SEARCH_FIELDS if f in df.columns]
+        flags = substring.match_flags(index, query, names) if index else catalog.match_flags(query, names)
         hit, fallback, fields = catalog.any_flag(flags), "species", exprs.fields_containing(flags, query)
     hit = hit if query else F.lit(False)
     rows = df.filter(hit)
