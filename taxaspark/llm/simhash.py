@@ -193,8 +193,9 @@ def keep_first_of_group(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     again = cut(again.join(lost, "doc_id", "left_anti"))
-    kept = docs.join(lost.unionByName(again), "doc_id", "left_anti").select(*docs.columns)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(lost.unionByName(again), "doc_id", "left_anti").select(*columns)
+    row = F.struct(*columns)
     rows = docs.join(again, "doc_id", "left_semi").select("doc_id", row.alias("row"))
     first = rows.groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.to_json("row"))).alias("row"))
-    return kept.unionByName(first.select("row.*"))
+    return kept.unionByName(first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
