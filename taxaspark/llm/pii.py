@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         found += [(0, a, b) for run in MAIL_RUN.finditer(text) if "@" in run[0] for a, b in _mails(text, *run.span())]
     for m in IP.finditer(text):
-        if all(int(p) <= 255 if len(p) < 400 else not p.strip("0") for p in m[0].split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
             found.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -337,17 +337,28 @@ def score_counts(trees: Trees, texts: list[str]) -> Counter[tuple[int, int, int]
 
 
 def thresholds(counts: dict[tuple[int, int, int], int], precision: float = 0.98, least: float = 0.0) -> list[float]:
-    """Of each kind the least score from which on the examples have the precision."""
-    out = []
-    for kind in range(len(KINDS)):
-        best, right, wrong = np.inf, 0, 0
-        for step in range(_bin(MOST), _bin(least) - 1, -1):
-            here = counts.get((kind, 1, step), 0)
-            right, wrong = right + here, wrong + counts.get((kind, 0, step), 0)
-            if here and right >= precision * (right + wrong):
-                best = max(least, LEAST + step * STEP)
-        out.append(float(best))
-    return out
+    """Of each kind the least score from which on the examples have the precision.
+
+    A kind whose examples never reach it, as it has few or none, takes the threshold of all kinds'
+    examples together; if these don't reach it either, the score that stands for the precision.
+    """
+    pooled: Counter[tuple[int, int, int]] = Counter()
+    for (_, y, step), n in counts.items():
+        pooled[len(KINDS), y, step] += n
+    out = [_threshold(counts, kind, precision, least) for kind in range(len(KINDS))]
+    common = _threshold(pooled, len(KINDS), precision, least)
+    common = common if np.isfinite(common) else max(least, float(np.log(precision / (1 - precision))))
+    return [x if np.isfinite(x) else common for x in out]
+
+
+def _threshold(counts: dict[tuple[int, int, int], int], kind: int, precision: float, least: float) -> float:
+    best, right, wrong = np.inf, 0, 0
+    for step in range(_bin(MOST), _bin(least) - 1, -1):
+        here = counts.get((kind, 1, step), 0)
+        right, wrong = right + here, wrong + counts.get((kind, 0, step), 0)
+        if here and right >= precision * (right + wrong):
+            best = max(least, LEAST + step * STEP)
+    return float(best)
 
 
 def held_out(text: Column) -> Column:
