@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -97,38 +99,53 @@ class _Sections(HTMLParser):
     SKIPPED_IDS = ("catlinks",)
     #: Of boxes of links only those with this heading are a part, with their rows' second cells.
     BOX, BOX_HEADING = "navbox", re.compile(r"(?i)taxon identifiers?")
+    #: Elements that part words.
+    APART = ("p", "li", "tr", "td", "th", "div", "h3", "h4", "table")
     VOID = ("br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track", "param")
 
-    def __init__(self, heading: str) -> None:
+    def __init__(self, heading: str, root: str | None) -> None:
         super().__init__(convert_charrefs=True)
-        self.heading, self.found = heading, []
-        self.title, self.text, self.in_heading = "", [], False
-        self.kind, self.skip, self.open = "section", 0, []
+        self.heading, self.root, self.found = heading, root, []
+        self.title, self.text, self.html, self.in_heading = "", [], [], False
+        self.kind, self.skip = "section", root is not None
+        self.open: list[_Open] = []
         self.box, self.cells, self.cell = 0, [], 0
+        self.part = 0
 
     def close_part(self) -> None:
+        """Ends a part; its elements that are still open are closed in its html, not in the next one's."""
+        self.html += [f"</{e.tag}>" for e in reversed(self.open) if e.part == self.part]
         text = " ".join("".join(self.text).split())
         if text or (self.kind == "section" and self.title):
-            self.found.append((self.kind, self.title.strip(), text))
-        self.text = []
+            self.found.append((self.kind, self.title.strip(), text, "".join(self.html)))
+        self.text, self.html = [], []
+        self.part += 1
 
     def close_box(self) -> None:
         """A box of identifiers: the second cell of each row, repeats dropped."""
         plain = [(n, " ".join("".join(parts).split())) for n, parts in self.cells]
         if any(self.BOX_HEADING.search(t) for _, t in plain):
             second = dict.fromkeys(t for n, t in plain if n == 2 and t)
-            self.found.append(("identifiers", "", " · ".join(second)))
+            self.found.append(("identifiers", "", " · ".join(second), "<p>".join(f"<span>{escape(t, False)}</span>" for t in second)))
 
     def handle_starttag(self, tag, attrs):
+        seen = not self.skip and not self.box
         if tag in self.VOID:
-            self.text.append(" ")
+            if seen:
+                self.text.append(" ")
+                self.html.append(self.get_starttag_text())
             return
         found = dict(attrs)
         names = (found.get("class") or "").split()
         hidden = tag in self.SKIPPED or any(c in self.SKIPPED_CLASSES for c in names) or found.get("id") in self.SKIPPED_IDS
         boxed = self.BOX in names and not self.skip
-        self.open.append((tag, hidden, boxed))
+        entry = _Open(tag, int(hidden), boxed)
+        self.open.append(entry)
         self.skip += hidden
+        if self.root in names and self.root is not None:
+            self.root = None  # the first one's content is the page
+            entry.shown, self.skip = 1, self.skip - 1
+            return
         if boxed and not self.box:
             self.cells, self.cell = [], 0
         self.box += boxed
@@ -139,32 +156,40 @@ class _Sections(HTMLParser):
                 self.cell += tag != "caption"
                 self.cells.append((self.cell, []))
             return
-        if tag == self.heading and not self.skip:
+        if self.skip:
+            self.text += " " * (tag in self.APART)
+            return
+        if tag == self.heading:
             self.close_part()
             self.title, self.in_heading = "", True
-        elif tag == "table" and not self.skip and self.kind == "section":
+            return
+        if tag == "table" and self.kind == "section":
             self.close_part()
-            self.kind = "infobox" if "infobox" in names else "table"
-        elif tag in ("p", "li", "tr", "td", "th", "div", "h3", "h4"):
+            self.kind, entry.table = "infobox" if "infobox" in names else "table", True
+        elif tag in self.APART:
             self.text.append(" ")
+        if not self.in_heading:
+            entry.part = self.part
+            self.html.append(self.get_starttag_text())
 
     def handle_endtag(self, tag):
-        if not any(t == tag for t, *_ in self.open):
+        if not any(e.tag == tag for e in self.open):
             return
         while self.open:
-            was, hidden, boxed = self.open.pop()
-            self.skip -= hidden
-            self.box -= boxed
-            if boxed and not self.box:
+            e = self.open.pop()
+            self.skip += e.shown - e.hidden
+            self.box -= e.boxed
+            if e.boxed and not self.box:
                 self.close_box()
-            elif self.box:
-                pass
-            elif was == self.heading:
+            elif e.tag == self.heading and not self.box:
                 self.in_heading = False
-            elif was == "table" and self.kind != "section":
+            self.text += " " * (e.tag in self.APART and not self.in_heading and not self.box)
+            if e.part == self.part:
+                self.html.append(f"</{e.tag}>")
+            if e.table:
                 self.close_part()
                 self.kind = "section"
-            if was == tag:
+            if e.tag == tag:
                 break
 
     def handle_data(self, data):
@@ -177,25 +202,40 @@ class _Sections(HTMLParser):
             self.title += data
         else:
             self.text.append(data)
+            self.html.append(escape(data, False))
+
+
+@dataclass
+class _Open:
+    """An open element: whether it hides what it holds or shows what was hidden, is a box, is a table
+    that is a part, and the part whose html its start tag is in."""
+
+    tag: str
+    hidden: int
+    boxed: bool
+    shown: int = 0
+    table: bool = False
+    part: int = -1
 
 
-def split_page(html: str | None, heading: str = "h2") -> list[tuple[str, str, str]]:
-    """(type, title, text) of a page's parts in order, repeats dropped."""
-    parser = _Sections(heading)
+def split_page(html: str | None, heading: str = "h2", root: str | None = None) -> list[tuple[str, str, str, str]]:
+    """(type, title, text, html) of a page's parts in order; parts that repeat stay. With ``root`` only
+    of what the first element of that class holds, nothing if there is none."""
+    parser = _Sections(heading, root)
     parser.feed(html or "")
     parser.close()
     parser.close_part()
-    return list(dict.fromkeys(parser.found))
+    return parser.found
 
 
-def page_sections(df: DataFrame, heading: str = "h2", key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, type, title, text): a row for each part of each page. The part before the first
-    heading has no title; null and empty pages have no parts."""
+def page_sections(df: DataFrame, heading: str = "h2", key: str = "page_id", html: str = "html", root: str | None = None) -> DataFrame:
+    """(key, pos, type, title, text, html): a row for each part of each page; see :func:`split_page`.
+    The part before the first heading has no title; null and empty pages have no parts."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, pos, *part) for i, page in zip(pdf[key], pdf[html], strict=True) for pos, part in enumerate(split_page(page, heading))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "type", "title", "text"])
+            rows = [(i, pos, *part) for i, page in zip(pdf[key], pdf[html], strict=True) for pos, part in enumerate(split_page(page, heading, root))]
+            yield pd.DataFrame(rows, columns=[key, "pos", "type", "title", "text", "html"])
 
-    return df.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, type string, title string, text string")
+    return df.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, type string, title string, text string, html string")

@@ -305,11 +305,90 @@ def test_tiles_match_the_inequality(spark):
 
 def test_page_sections():
     page = "<h2>One</h2><p>a <b>b</b></p><table class='infobox'><tr><td>k</td></tr></table><h2>Two</h2>c<script>x</script>"
-    assert corpora.split_page(page) == [("section", "One", "a b"), ("infobox", "One", "k"), ("section", "One", ""), ("section", "Two", "c")]
+    plain = lambda *a: [p[:3] for p in corpora.split_page(*a)]
+    assert plain(page) == [("section", "One", "a b"), ("infobox", "One", "k"), ("section", "One", ""), ("section", "Two", "c")]
     assert corpora.split_page(None) == []
     box = "<div class=navbox><table><caption>Taxon identifiers</caption><tr><th>W</th><td><a>Q1</a></td></tr><tr><th>W</th><td>Q1</td></tr><tr><th>G</th><td>7 <b>x</b></td></tr></table></div>"
     page = f"<h2>One</h2>a<p class=noprint>n</p><div id=catlinks>c</div><i class=taxobox-edit-taxonomy>e</i>{box}<div class='navbox x'><table><tr><th>Links</th><td>b</td></tr></table></div>d"
-    assert corpora.split_page(page) == [("identifiers", "", "Q1 · 7 x"), ("section", "One", "a d")]
+    assert plain(page) == [("identifiers", "", "Q1 · 7 x"), ("section", "One", "a d")]
+    assert corpora.split_page(page)[0][3] == "<span>Q1</span><p><span>7 x</span>"
+    assert corpora.split_page("<h2>A</h2><div id='x'>a &lt; b<br>c<h2>B</h2>d</div>") == [("section", "A", "a < b c", "<div id='x'>a &lt; b<br>c</div>"), ("section", "B", "d", "d")]
+    nested = "<h2>T</h2><table><tr><td>a<table><tr><td>b</td></tr></table>c</td></tr></table>z"
+    assert plain(nested) == [("section", "T", ""), ("table", "T", "a b c"), ("section", "T", "z")]
+    assert plain("<p>x</p><h2>A</h2>y<h2>A</h2>y") == [("section", "", "x"), ("section", "A", "y"), ("section", "A", "y")]
+    inner = "<p>out</p><div class='a root'><h2>A</h2>in<div class=root>deep</div></div><p>out</p>"
+    assert plain(inner, "h2", "root") == [("section", "A", "in deep")] and plain("<p>x</p>", "h2", "root") == []
+
+
+def _tree(r, depth=0):
+    """A random page as nested lists: (tag, class, children) and texts."""
+    out = []
+    for _ in range(r.randint(0, 4)):
+        kind = r.random()
+        if kind < 0.35 or depth > 3:
+            out.append(r.choice(["one", "a < b", " two  three ", "x&y"]))
+        else:
+            tag = r.choice(["div", "p", "h2", "table", "span", "script", "ul"])
+            name = r.choice(["", "", "noprint", "infobox", "stub wide"])
+            out.append((tag, name, [r.choice(["T one", "B &"])] if tag == "h2" else _tree(r, depth + 1) if tag != "script" else ["var"]))
+    return out
+
+
+def _rendered(nodes):
+    import html
+
+    return "".join(html.escape(n, False) if isinstance(n, str) else f"<{n[0]} class='{n[1]}'>{_rendered(n[2])}</{n[0]}>" for n in nodes)
+
+
+def _parts_of(nodes):
+    """The parts by walking the tree: a heading begins one, an outer table is one."""
+    found, state = [], {"title": "", "text": "", "kind": "section"}
+
+    def close():
+        text = " ".join(state["text"].split())
+        if text or (state["kind"] == "section" and state["title"]):
+            found.append((state["kind"], state["title"].strip(), text))
+        state["text"] = ""
+
+    def walk(nodes):
+        for n in nodes:
+            if isinstance(n, str):
+                state["text"] += n
+                continue
+            tag, name, inner = n
+            if tag == "script" or {"noprint", "stub"} & set(name.split()):
+                parts_words = lambda t: not isinstance(t, str) and (t[0] in ("p", "div", "table") or any(map(parts_words, t[2])))
+                state["text"] += " " if parts_words(n) else ""
+                continue
+            if tag == "h2":
+                close()
+                state["title"] = "".join(inner)
+            elif tag == "table" and state["kind"] == "section":
+                close()
+                state["kind"] = "infobox" if "infobox" in name.split() else "table"
+                walk(inner)
+                close()
+                state["kind"] = "section"
+            else:
+                apart = " " if tag in ("p", "div", "table") else ""
+                state["text"] += apart
+                walk(inner)
+                state["text"] += apart
+
+    walk(nodes)
+    close()
+    return found
+
+
+def test_parts_of_random_pages():
+    r = random.Random(6)
+    for _ in range(400):
+        tree = _tree(r)
+        got = corpora.split_page(_rendered(tree))
+        assert [p[:3] for p in got] == _parts_of(tree)
+        for _, _, text, part in got:  # a part's html has its text, and closes what it opens
+            again = "".join(corpora.split_page(part.replace("<table", "<div").replace("</table", "</div"), "none")[0][2].split()) if text else ""
+            assert again == "".join(text.split()) and part.count("<") == 2 * part.count("</")
 
 
 def test_mentions(spark):
