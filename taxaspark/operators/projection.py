@@ -102,13 +102,16 @@ def pyramid_counts(points: DataFrame, max_zoom: int = 9) -> DataFrame:
 
 
 def project_2d(df: DataFrame, column: str = "embedding", key: str = "img_id") -> DataFrame:
-    """(key, x, y): the first two principal components, fitted by Spark over all rows."""
+    """(key, x, y): the first two principal components, fitted by Spark over all rows. An axis points the
+    way in which the largest of its weights is positive. Rows are projected as they are, not centred."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = df.select(key, array_to_vector(F.col(column).cast("array<double>")).alias("v"))
-    out = PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select(key, vector_to_array("p").alias("p"))
-    return out.select(key, F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(rows)
+    signs = [1.0 if max(axis, key=abs) > 0 else -1.0 for axis in model.pc.toArray().T.tolist()]  # as many weights as a vector is long
+    out = model.transform(rows).select(key, vector_to_array("p").alias("p"))
+    return out.select(key, *[(F.get("p", F.lit(k)) * s).alias(c) for k, (c, s) in enumerate(zip("xy", signs, strict=True))])
 
 
 def plot_bounds(df: DataFrame) -> DataFrame:
