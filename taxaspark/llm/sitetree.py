@@ -31,10 +31,12 @@ from taxaspark.llm.common import cut, parts
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""")
 #: Elements by their role.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr"}
-UNSEEN = {"head", "button", "select", "option", "datalist", "svg", "canvas", "object", "audio", "video", "math"}
+#: Elements that hold what is read in place: formulas, and what stands for a sound or a picture.
+INLINE |= {"math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "object", "audio", "video"}
+UNSEEN = {"head", "button", "select", "option", "datalist", "svg", "canvas"}
 STRUCTURAL = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 MAIN = {"article", "main"}
 #: What an opening tag ends, up to the elements that bound the search.
@@ -70,8 +72,10 @@ def _cue(tag: str, found: dict[str, str], inside: bool) -> int:
     """How an element presents itself; ``inside``: of an article."""
     if tag in STRUCTURAL:
         return PLAIN if tag == "header" and inside else ROLE
-    if found.get("role", "").lower() in LOW_ROLES or "display:none" in found.get("style", "").replace(" ", "").lower():
+    if found.get("role", "").lower() in LOW_ROLES:
         return ROLE
+    if not inside and "display:none" in found.get("style", "").replace(" ", "").lower():
+        return ROLE  # what an article hides is still its text
     if tag in MAIN or tag in ("html", "body"):
         return PLAIN
     cue, high = PLAIN, False
@@ -214,7 +218,7 @@ def parse(page: str) -> Page:
         if m[1]:
             if opened.get(tag):
                 inline = tag in INLINE
-                for k in range(len(stack) - 1, max(-1, len(stack) - 65) if inline else -1, -1):
+                for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         while len(stack) > k:
                             pop()
@@ -249,7 +253,7 @@ def parse(page: str) -> Page:
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
             if any(opened.get(x) for x in ends):
-                for k in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
+                for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in bounds:
                         break
                     if stack[k][0] in ends:

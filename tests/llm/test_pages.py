@@ -33,6 +33,11 @@ def alone(html):
         ("<p>A lead before it.</p><article><h1>T</h1><p>and the story itself, which is longer</p></article>", "A lead before it.\n\nT\n\nand the story itself, which is longer"),
         ("<div>Story in a plain element, long enough.</div><article class=card>Teaser</article>", "Story in a plain element, long enough.\n\nTeaser"),
         ("<p>a<b", "a"),
+        ("<article><p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds</p></article>", "If x=2 holds"),
+        ("<article><p>Shown</p><div style='display: none'><p>hidden part</p></div><p>end</p></article><div style='display:none'>menu</div>", "Shown\n\nhidden part\n\nend"),
+        ("<article><p>Hear <audio src=x>a song</audio> and <object data=y>a picture</object></p></article>", "Hear a song and a picture"),
+        ("<article>" + "<b>" * 100 + "in" + "</i>" * 3 + "</b>" * 100 + "<p>out</p></article>", "in\n\nout"),
+        ("<article><ul><li>" + "<span>" * 100 + "a<li>b</ul></article>", "a\n\nb"),
         ("<p title=\"x>y\" class=a'>b</p>", "b"),
     ],
 )
