@@ -225,3 +225,15 @@ def line_alignment(rows, min_words=3, rare=32):
             by[x].append(i)
         if not align({pair for h in by.values() for pair in zip(h, h[1:])}):
             return {i: sorted(v) for i, v in gone.items()}
+
+
+def near_copies(rows, size=5):
+    """{doc_id: smallest doc_id reachable}: texts whose sets of ``size`` words in sequence have a Jaccard
+    similarity of 0.8 or more are linked; texts without words with each other."""
+    sets = {}
+    for k, text in rows:
+        words = [w for w in re.split("[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+        sets[k] = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    keys = sorted(sets)
+    links = [(a, b) for n, a in enumerate(keys) for b in keys[:n] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    return components(links, sets)

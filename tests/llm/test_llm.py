@@ -133,10 +133,8 @@ def test_near_copies_of_five_words(spark):
             texts.append(" ".join(copy))
     texts = [f"{t} {PASSAGE}" if k % 3 else t for k, t in enumerate(texts)] + ["", None]
     r.shuffle(texts)
-    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for k, t in enumerate(texts)}
-    links = [(a, b) for a in sets for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = set(brute.components(links, sets).values())
+    want = set(brute.near_copies(enumerate(texts)).values())
     assert {r["doc_id"] for r in simhash.keep_first_of_group(df).collect()} == want
     assert want < {x[2] for x in brute.simhash(enumerate(texts))}  # the query's limits keep more
 
@@ -605,7 +603,7 @@ def test_pipeline(spark, small, tmp_path):
     left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone[i])) for i, t in before.items()}
     assert after == {i: t for i, t in left.items() if not gone[i] or t.split()}
     before, after = seen["simhash_near_dedup"]
-    assert set(after) == {x[2] for x in brute.simhash(before.items())}
+    assert set(after) == set(brute.near_copies(before.items()).values())
     before, after = seen["benchmark_decontamination"]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert set(after) == {x[0] for x in brute.contamination(before.items(), items) if not x[-1]}
