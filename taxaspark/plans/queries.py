@@ -91,7 +91,7 @@ def catalog_page_by_counts(spark, d):
     return paged.page(paged_catalog(spark, d), 24, 40).select("species", "img_id", "family")
 
 
-@query(sql("SELECT species, img_id FROM catalog WHERE (species, img_id) > ('large plate', 300) ORDER BY species, img_id LIMIT 75", "catalog"))
+@query(sql(f"SELECT species, img_id FROM {fx.FLAT} WHERE (species, img_id) > ('large plate', 300) ORDER BY species, img_id LIMIT 75", "catalog"))
 def catalog_page_after_key(spark, d):
     return paged.page_after(paged_catalog(spark, d), ("large plate", 300), 75).select("species", "img_id")
 
