@@ -272,7 +272,7 @@ def path_keys(spark, d):
 _XY = ", ".join(f"0.05 + 0.9 * ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {n}" for c, n in (("UMAP1", "x"), ("UMAP2", "y")))
 
 
-@query(sql(f"""SELECT id, z::INTEGER AS z, tx, ty, round(px, 4) AS px, round(py, 4) AS py, trunc(round(px - 64, 6))::INTEGER AS paste_x, trunc(round(py - 64, 6))::INTEGER AS paste_y
+@query(sql(f"""SELECT id, z::INTEGER AS z, tx, ty, round(px, 4) AS px, round(py, 4) AS py, trunc(px - 64)::INTEGER AS paste_x, trunc(py - 64)::INTEGER AS paste_y
  FROM (SELECT *, (x * (1 << z) - tx) * 256 AS px, (y * (1 << z) - ty) * 256 AS py FROM (SELECT img_id AS id, {_XY} FROM projection), range(0, 3) AS zs(z), range(0, 4) AS a(tx), range(0, 4) AS b(ty))
  WHERE tx < (1 << z) AND ty < (1 << z) AND x * (1 << z) >= tx - 0.265625 AND x * (1 << z) < tx + 1.265625 AND y * (1 << z) >= ty - 0.265625 AND y * (1 << z) < ty + 1.265625""", "projection"))
 def tile_places(spark, d):
