@@ -2,7 +2,7 @@
 
 One query over a table is one scan: each row counts the query's terms in its own words, and only
 numbers of rows and mean lengths are aggregated. For many queries an index is stored, see ``textindex``.
-Both are made by native expressions.
+Words are cut by native expressions.
 """
 
 from __future__ import annotations

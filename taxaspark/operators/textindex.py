@@ -16,9 +16,14 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxaspark.sources.stored import file_system
+
 K1, B = 1.2, 0.75
 #: Rows of a block, about; blocks that are scored to find out what a row must score.
 BLOCK, SEEDS = 1024, 16
@@ -72,29 +77,58 @@ def open_index(spark: SparkSession, path: str, stem: Stem | None = None) -> Stor
     return StoredIndex(spark, path, tuple(sorted(r["field"] for r in fields if r["field"] != ALL)), stem)
 
 
+def _grouped(rows: pa.Table) -> pa.Table:
+    """Postings of a block's field from its rows (id, block, field, words). Those of the null term are all
+    rows, also those without words, with their lengths."""
+    field, block = rows["field"][0], rows["block"][0]
+    rows = rows.select(["id", "words"]).take(pc.sort_indices(rows["id"], null_placement="at_start")).combine_chunks()
+    ids, words = (pa.concat_arrays(rows[c].chunks) for c in ("id", "words"))
+    length = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    real = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+    code = coded.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(ids)), length)
+    found, tf = np.unique((code * len(ids) + row)[real], return_counts=True)
+    term, row = (np.concatenate(x) for x in zip(np.divmod(found, len(ids)), (np.full(len(ids), len(coded.dictionary)), np.arange(len(ids))), strict=True))
+    tf = np.concatenate([tf, np.ones(len(ids), np.int64)])
+    start = np.flatnonzero(np.diff(term, prepend=-1))
+    end = np.append(start[1:], len(term))
+    names = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]).take(pa.array(term[start]))
+    entries = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(length[row], pa.int32())], ["id", "tf", "len"])
+    columns = {
+        "field": pa.repeat(field, len(start)), "term": names, "block": pa.repeat(block, len(start)), "n": pa.array(end - start), "max_tf": pa.array(np.maximum.reduceat(tf, start), pa.int32()),
+        "min_len": pa.array(np.minimum.reduceat(length[row], start), pa.int32()), "entries": pa.ListArray.from_arrays(pa.array(np.append(start, len(term)), pa.int32()), entries),
+    }
+    return pa.table(columns)
+
+
 def store(df: DataFrame, key: str, columns: Iterable[str], path: str, words: Callable[[Column], Column], stem: Stem | None = None) -> StoredIndex:
     """Write the index of ``columns`` of ``df``, whose rows ``key`` identifies, in place of what is there.
 
-    ``words`` gives a text's terms. Tokens are counted before they are shuffled; a group is a block's
-    rows with a term, so no term is too frequent.
+    ``words`` gives a text's terms, once. Rows are dealt out by block and field, which hold about
+    ``BLOCK`` of them however frequent a term, and a block's postings are made in one go. They are
+    stored before they are sorted: the sort reads them twice.
     """
-    columns = tuple(columns)
+    columns, spark = tuple(columns), df.sparkSession
     n = df.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / BLOCK)))
     block = F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - bits) if bits else F.lit(0).cast("long")
     texts = [F.struct(F.lit(c).alias("field"), words(F.col(f"`{c}`")).alias("words")) for c in columns]
     if len(columns) > 1:
         texts.append(F.struct(F.lit(ALL).alias("field"), F.flatten(F.array(*[t["words"] for t in texts])).alias("words")))
-    spread = df.select(F.col(key).alias("id"), block.alias("block"), F.explode(F.array(*texts)).alias("f")).select("id", "block", "f.field", "f.words", F.size("f.words").alias("len"))
-    spread.select("id", "field", "len").write.mode("overwrite").parquet(f"{path}/lengths")
-    lengths = df.sparkSession.read.parquet(f"{path}/lengths")
-    lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total")).write.mode("overwrite").parquet(f"{path}/fields")
-    counted = spread.select("id", "block", "field", "len", F.explode("words").alias("term")).groupBy("id", "block", "field", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-    entries = F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("entries")
-    blocks = counted.groupBy("field", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), entries)
+    spread = df.select(F.col(key).alias("id"), block.alias("block"), F.explode(F.array(*texts)).alias("f")).select("id", "block", "f.field", "f.words")
+    kind = spread.schema["id"].dataType.simpleString()
+    blocks = spread.groupBy("block", "field").applyInArrow(_grouped, f"field string, term string, block long, n long, max_tf int, min_len int, entries array<struct<id:{kind},tf:int,len:int>>")
+    blocks.write.mode("overwrite").parquet(f"{path}/grouped")
+    grouped = spark.read.schema(blocks.schema).parquet(f"{path}/grouped")
+    held = grouped.filter("term IS NULL").select("field", F.explode("entries").alias("e"))
+    held.select("e.id", "field", "e.len").write.mode("overwrite").parquet(f"{path}/lengths")
+    index = StoredIndex(spark, path, columns, stem)
+    index.lengths.groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total")).write.mode("overwrite").parquet(f"{path}/fields")
     order = ["term", "field", "block"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-    index = StoredIndex(df.sparkSession, path, columns, stem)
+    grouped.filter("term IS NOT NULL").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+    fs, where = file_system(spark, f"{path}/grouped")
+    fs.delete(where, True)
     index.postings.groupBy("term", "field").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     return index
 

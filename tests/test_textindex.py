@@ -127,3 +127,21 @@ def test_once(spark, tmp_path):
         stored.once(spark, "y", [source], lambda to: 1 / 0)
     stored.once(spark, "y", [source], make)
     assert len(made) == 3
+
+
+def test_a_text_is_cut_once(spark, tmp_path):
+    """Also of a text without words there is a length; no text is cut again for the sort or the lengths."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        seen.add(1)
+        return (text or "").split()
+
+    rows = [(k, f"fox owl{k} " * (k % 3) + "bat") for k in range(40)] + [(90, ""), (91, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    made = textindex.store(df, "id", ["text"], str(tmp_path / "i"), F.udf(cut, "array<string>"))
+    assert seen.value == len(rows)
+    assert {r["id"]: r["len"] for r in made.lengths.collect()} == {k: len((t or "").split()) for k, t in rows}
+    held = {r["term"]: [tuple(e) for e in r["entries"]] for r in made.postings.collect()}
+    assert held["fox"] == [(k, k % 3, 2 * (k % 3) + 1) for k in range(40) if k % 3] and None not in held
+    assert {r["term"]: r["df"] for r in made.terms.collect()} == {t: len(e) for t, e in held.items()}
