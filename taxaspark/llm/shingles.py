@@ -148,12 +148,14 @@ def _apart(posts: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(at.join(mixed, "token", "left_semi"))
 
 
-def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, groups: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` with an id: doc_id, component_id.
 
     Texts are linked if their sets of ``size`` words in sequence (ASCII case ignored) have a Jaccard
     similarity of ``percent`` hundredths or more; component_id is the smallest doc_id reachable. Null
-    and empty texts have the empty set and are linked with each other.
+    and empty texts have the empty set and are linked with each other. ``groups(doc_id, component_id)``,
+    one row per row, gives links that are known already; texts that differ only in case and white space
+    must be in one group.
     """
     plain = F.trim(F.regexp_replace(lower_ascii(F.coalesce("text", F.lit(""))), SPACE, " "))
     docs = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64(plain).alias("key"))
@@ -163,6 +165,10 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     firsts = docs.withColumnRenamed("doc_id", "node").join(keys.join(left, "key", "left_semi"), ["key", "node"], "left_semi")
     sets = firsts.select("key", shingles(F.col("text"), size).alias("tokens")).dropDuplicates(["key"])
     spread = cut(sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
-    roots = connected_components(similar_links(spread, keys, percent))
+    links = similar_links(spread, keys, percent)
+    if groups is not None:
+        known = groups.withColumnRenamed("doc_id", "u").join(keys.select(F.col("node").alias("u")), "u", "left_semi")
+        links = links.unionByName(known.filter("u <> component_id").select("u", F.col("component_id").alias("v")).distinct())
+    roots = connected_components(links)
     groups = keys.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     return found.join(groups, "key").select("doc_id", "component_id")

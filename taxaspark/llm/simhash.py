@@ -184,12 +184,14 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2, shingle: int = 3, se
 def keep_first_of_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs(doc_id, text, ...)`` whose doc_id is its component's smallest, with all their columns.
 
-    Components are those of :func:`shingles.near_copies`: a fingerprint's distance says too little
-    about a similarity of 0.8. Of rows that repeat a doc_id one stays: the one with the least text digest
+    Documents are linked as in :func:`near_duplicates`, by fingerprints. A fingerprint says little about a
+    similarity of 0.8, so the exact similarity of :func:`shingles.near_copies` follows and links what the
+    fingerprints leave apart. Of rows that repeat a doc_id one stays: the one with the least text digest
     and, of these, the first as JSON. Null and empty texts are alike, so one of these stays. Rows with a
     null doc_id stay, as they can't be told apart.
     """
-    found = near_copies(docs, shingle, percent)
+    groups = cut(near_duplicates(docs.filter("doc_id is not null")).select("doc_id", "component_id"))
+    found = near_copies(docs, shingle, percent, groups)
     lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     again = cut(again.join(lost, "doc_id", "left_anti"))

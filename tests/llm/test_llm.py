@@ -141,6 +141,16 @@ def test_near_copies_of_five_words(spark):
     assert want < {x[2] for x in brute.simhash(enumerate(texts))}  # the query's limits keep more
 
 
+def test_near_dup_stage_goes_by_fingerprints(spark):
+    """Texts that fingerprints link go together, also where their sets of five words are less alike."""
+    same = "w13 w21 w21 w32 w50 w25 " * 8
+    texts = [same + "x107 x132 x668 x834 x459 x536 x572", "alone it stands", same + "y736 y864 y854 y595 y718 y532 y548"]
+    rows = list(enumerate(texts))
+    assert len(set(brute.near_copies(rows).values())) == 3 and {x[2] for x in brute.simhash(rows)} == {0, 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()} == {0, 1}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(7, 7), (500, 501), (501, 500)], "u long, v long")
     out = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
