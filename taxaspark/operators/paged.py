@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,8 +43,11 @@ def store(df: DataFrame, path: str, *order: str, parts: int | None = None) -> Pa
     dealt = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
     place = F.monotonically_increasing_id()
     numbered = dealt.sortWithinPartitions(*by).withColumn("_at", place).withColumn(PART, F.shiftright("_at", 33).cast("int")).withColumn(ROW, F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
-    out = numbered.write.mode("overwrite")
-    (out if df.isEmpty() else out.partitionBy(PART)).parquet(f"{path}/rows")  # a folder without rows has no schema
+    numbered.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")
+    try:
+        df.sparkSession.read.parquet(f"{path}/rows")
+    except AnalysisException:  # a folder without rows has no schema
+        numbered.limit(0).write.mode("overwrite").parquet(f"{path}/rows")
     table = PagedTable(df.sparkSession, path, order)
     counted = table.rows.groupBy(PART).agg(F.count("*").alias("n"), F.max(_key(order)).alias("last"))
     start = F.sum("n").over(W.orderBy(PART)) - F.col("n")  # one row for each part

@@ -4,7 +4,11 @@ Names are numbered as they come. A part's state is its number of rows and, for e
 names it holds, as bitmaps of their numbers: states are merged by or, so distinct counts stay exact,
 a new part costs only its own rows, and a part can be taken out.
 
-Below the path: ``names`` (field, name, number), ``states`` (part, field, bucket, bits), ``counts`` (part, n).
+Names grow with the collection, so they meet by a shuffle and not by way of the driver; a part's own are
+written once, as numbering them reads them several times.
+
+Below the path: ``names`` (field, name, number), ``states`` (part, field, bucket, bits), ``counts`` (part, n),
+``held`` (field, name) of the part that came last.
 """
 
 from __future__ import annotations
@@ -44,12 +48,13 @@ class Statistics:
             return False
         step = self.read("names").agg(F.coalesce(F.shiftright(F.max("number"), STEP), F.lit(-1)).alias("step")).first()["step"] + 1
         cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("name")) for f in self.fields]))
-        held = rows.select(cells.alias("c")).select("c.*").filter("name IS NOT NULL").distinct()
-        new = held.join(self.read("names"), ["field", "name"], "left_anti").repartitionByRange("field", "name").sortWithinPartitions("field", "name")
+        rows.select(cells.alias("c")).select("c.*").filter("name IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{self.path}/held")
+        held = self.spark.read.schema("field string, name string").parquet(f"{self.path}/held")
+        new = held.join(self.read("names").hint("merge"), ["field", "name"], "left_anti").repartitionByRange("field", "name").sortWithinPartitions("field", "name")
         number = F.lit(step).cast("long") * (1 << STEP) + F.monotonically_increasing_id()
         new.select("field", "name", number.alias("number")).write.mode("append").parquet(f"{self.path}/names")
         names = self.read("names").groupBy("field", "name").agg(F.min("number").alias("number"))  # a run that failed may have numbered some
-        numbered = held.join(names, ["field", "name"]).select("field", F.col("number") + 1)
+        numbered = held.join(names.hint("merge"), ["field", "name"]).select("field", F.col("number") + 1)
         numbered = numbered.toDF("field", "number")
         bits = numbered.groupBy("field", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
         bits.select(F.lit(part).alias("part"), "field", "bucket", "bits").write.mode("append").parquet(f"{self.path}/states")

@@ -20,6 +20,7 @@ def sources(d: str) -> list[str]:
 
 def _specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation, region, part = (_read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region", "part"))
+    customer, part = customer.hint("merge"), part.hint("merge")  # they grow with the orders, so not by way of the driver
     df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     parts = part.agg(F.count("*").alias("n_parts"))  # one row; orders are dealt to all parts
     return df.crossJoin(F.broadcast(parts)).join(part, F.col("p_partkey") == F.col("o_orderkey") % F.col("n_parts"))

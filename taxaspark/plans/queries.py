@@ -100,7 +100,10 @@ def collection_states(spark, d):
     """States of the catalog's parts: here the specimens of each source."""
     def make(path):
         own = statistics.Statistics(spark, path, ("family", "species", "common_name"))
-        own.refresh((s or "none", fx.catalog(spark, d).filter(F.col("source_db").eqNullSafe(F.lit(s)))) for s in ("gbif", "ecdysis", "scanbugs", "inat", None))
+        rows = fx.catalog(spark, d).select("source_db", *own.fields)
+        rows.write.mode("overwrite").parquet(f"{path}/rows")  # else each part makes the whole catalog anew
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+        own.refresh((s or "none", rows.filter(F.col("source_db").eqNullSafe(F.lit(s)))) for s in ("gbif", "ecdysis", "scanbugs", "inat", None))
 
     return statistics.Statistics(spark, stored.once(spark, "collection-states", fx.sources(d), make), ("family", "species", "common_name"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taxaspark.functions import exprs
 from taxaspark.operators import paged, projection, spatial, statistics, substring
-from taxaspark.plans import search
+from taxaspark.plans import fixtures, queries, search
 
 NAMES = ["Danaus_plexippus", "danaus plexippus menippe", "Vanessa cardui", "a_b%c", "", None, "Été doré", "İstanbul blue", "x" * 40]
 
@@ -160,6 +160,18 @@ def test_statistics(spark, tmp_path, monkeypatch):
     check(parts)
 
 
+def test_growing_tables_do_not_pass_the_driver(spark, small, tmp_path, monkeypatch):
+    """Customers and parts meet orders by a shuffle, and the catalog is made once for all parts."""
+    plan = fixtures.catalog(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("SortMergeJoin") == 2
+    made, catalog = [], fixtures.catalog
+    monkeypatch.setattr(fixtures, "catalog", lambda *a: made.append(a) or catalog(*a))
+    monkeypatch.setattr(queries.stored, "once", lambda spark, name, sources, make: make(str(tmp_path / name)) or str(tmp_path / name))
+    own = queries.collection_states(spark, small)
+    assert len(made) == 1
+    assert own.rows().first()["n_rows"] == catalog(spark, small).count()
+
+
 def test_tiles_by_cells(spark):
     r = random.Random(2)
     points = [(k, r.random(), r.choice([0.0, 1.0, 0.5, r.random()])) for k in range(300)] + [(900, 0.05, 0.95), (901, 0.05, 0.95)]
