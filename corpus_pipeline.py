@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from taxaspark.llm import decontaminate, linealign, packing, quality, simhash
-from taxaspark.llm.common import table, work_dir
+from taxaspark.llm.common import no_shuffle_left, table, work_dir
 from taxaspark.llm.queries import tokenizer_path
 
 
@@ -51,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with no_shuffle_left(spark):
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

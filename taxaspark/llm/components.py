@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import cut
+from taxaspark.llm.common import cut, discard, no_shuffle_left
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -25,15 +25,17 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     root is the smallest node reachable. Self links and nulls are ignored, repeats are harmless.
     The number of rounds grows with the logarithm of a component's size; each round's links are
-    written to the shared folder.
+    written to the shared folder and the last round's deleted.
     """
     links = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links, seen = cut(links), None
     while True:
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with no_shuffle_left(links.sparkSession):
+            now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
         seen = now
-        links = cut(_small_star(_large_star(links)))
+        last, links = links, cut(_small_star(_large_star(links)))
+        discard(last)
     roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import SPACE, cut, lower_ascii
+from taxaspark.llm.common import SPACE, cut, discard, lower_ascii
 from taxaspark.llm.components import connected_components
 
 
@@ -88,10 +88,9 @@ def similar_links(spread: DataFrame, keys: DataFrame, percent: int = 80, turns:
     """Links ``(u, v)`` that join all sets of a similarity of ``percent`` hundredths or more.
 
     ``spread(key, n, token)``, stored: the shingles of each set and their number; ``keys(key, node)``,
-    stored: the document that stands for a set. Links that others imply may be left out, so that components
+    stored: the document that stands for a set. What is returned is stored. Links that others imply may be left out, so that components
     stay the same and large groups of near copies don't give all their pairs.
     """
-    spread = cut(spread.join(without_loners(spread, spread, percent), "key", "left_semi"))
     often = spread.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     least = F.ceil(F.col("n") * percent / 100)
     sets = spread.join(often, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
@@ -109,6 +108,8 @@ def similar_links(spread: DataFrame, keys: DataFrame, percent: int = 80, turns:
             star = star.filter("root <> c.root")
         star = star.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
         star = cut(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+        if links is not None:
+            discard(at)
         if star.isEmpty() and links is not None:
             break
         new = cut(_similar(star, sets, percent))
@@ -117,7 +118,9 @@ def similar_links(spread: DataFrame, keys: DataFrame, percent: int = 80, turns:
     other = at.select("token", F.col("key").alias("b"), F.struct("n", "own", "sketch", "root").alias("c"))
     cross = at.join(other, "token").filter((F.col("root") < F.col("c.root")) & _near(percent))
     cross = cross.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_similar(cross, sets, percent))
+    links = links.unionByName(cut(_similar(cross, sets, percent)))
+    discard(sets, posts, at)
+    return links
 
 
 #: Longs of a parity sketch.
@@ -160,15 +163,20 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, groups: DataF
     plain = F.trim(F.regexp_replace(lower_ascii(F.coalesce("text", F.lit(""))), SPACE, " "))
     docs = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64(plain).alias("key"))
     found = cut(docs.select("doc_id", "key", sampled(F.col("text"), size).alias("s")).select("doc_id", "key", "s.n", "s.tokens"))
-    keys = cut(found.groupBy("key").agg(F.min("doc_id").alias("node")))
+    ids = cut(found.select("doc_id", "key"))
+    keys = cut(ids.groupBy("key").agg(F.min("doc_id").alias("node")))
     left = without_loners(found, found.select("key", F.explode("tokens").alias("token")), percent)
     firsts = docs.withColumnRenamed("doc_id", "node").join(keys.join(left, "key", "left_semi"), ["key", "node"], "left_semi")
     sets = firsts.select("key", shingles(F.col("text"), size).alias("tokens")).dropDuplicates(["key"])
-    spread = cut(sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
+    every = cut(sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")))
+    discard(found)
+    spread = cut(every.join(without_loners(every, every, percent), "key", "left_semi"))
+    discard(every)
     links = similar_links(spread, keys, percent)
+    discard(spread)
     if groups is not None:
         known = groups.withColumnRenamed("doc_id", "u").join(keys.select(F.col("node").alias("u")), "u", "left_semi")
         links = links.unionByName(known.filter("u <> component_id").select("u", F.col("component_id").alias("v")).distinct())
     roots = connected_components(links)
     groups = keys.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
-    return found.join(groups, "key").select("doc_id", "component_id")
+    return ids.join(groups, "key").select("doc_id", "component_id")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.common import cut
+from taxaspark.llm.common import cut, no_shuffle_left
 from taxaspark.llm.components import connected_components
 from taxaspark.llm.shingles import near_copies
 
@@ -87,13 +87,15 @@ def _node(df: DataFrame, prefix: str, parent_shift: int, shift: int) -> DataFram
 def gray_index(nodes: DataFrame, per_partition: int = 1 << 15) -> tuple[DataFrame, list[int]]:
     """``nodes(fp, node)``, stored and with distinct fp, to the leaves of the index and the
     shifts that give the number of a leaf's ancestor at each level, top first."""
-    parts = max(1, -(-nodes.count() // per_partition))
+    with no_shuffle_left(nodes.sparkSession):
+        parts = max(1, -(-nodes.count() // per_partition))
     at = nodes.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
     at = at.withColumn("pos", F.monotonically_increasing_id())
     leaves = at.groupBy(F.shiftright("pos", LEAF_BITS).alias("id")).agg(
         F.collect_list(F.struct("fp", "node")).alias("members"), F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some"))
     leaves = cut(leaves)
-    low, high = leaves.agg(F.max(F.col("id").bitwiseAND(F.lit((1 << (ROW_BITS - LEAF_BITS)) - 1))), F.max(F.shiftright("id", ROW_BITS - LEAF_BITS))).first()
+    with no_shuffle_left(nodes.sparkSession):
+        low, high = leaves.agg(F.max(F.col("id").bitwiseAND(F.lit((1 << (ROW_BITS - LEAF_BITS)) - 1))), F.max(F.shiftright("id", ROW_BITS - LEAF_BITS))).first()
     shifts = [LEAF_BITS]
     while ((low or 0) << LEAF_BITS) >> shifts[-1] >= 1 << FAN_BITS:
         shifts.append(shifts[-1] + FAN_BITS)

@@ -151,6 +151,28 @@ def test_near_dup_stage_goes_by_fingerprints(spark):
     assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()} == {0, 1}
 
 
+def test_near_dup_stage_leaves_its_disk_free(spark, small):
+    """Its shuffles go with the query that made them, not when the driver collects its garbage."""
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {x for x in found.split() if x.startswith("shuffle_")}
+
+    before = shuffles()
+    out = simhash.keep_first_of_group(spark.read.parquet(f"{small}/documents.parquet"))
+    assert shuffles() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert out.count()
+
+
+def test_components_keep_one_table(spark):
+    chain = spark.range(1, 300).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    folder = Path(common.work_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    roots = components.connected_components(chain)
+    assert len(set(folder.glob("*")) - before) == 1 and {tuple(r) for r in roots.collect()} == {(k, 0) for k in range(300)}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(7, 7), (500, 501), (501, 500)], "u long, v long")
     out = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
